@@ -23,14 +23,27 @@ def hash_split(
 def temporal_split(df: DataFrame, year: str = "year", last_train: int = SPLIT_YEAR) -> DataFrame:
     """Train up to and including a year, test after it; the year is then dropped.
 
-    Rows without a year belong to neither side. The condition on the year
-    reaches the scan, and a table partitioned by year is pruned by it.
+    Rows without a year belong to neither side. Both sides come from one scan;
+    to read only one of them, take ``temporal_side``.
     """
     when = named(year)
     split = F.when(when <= last_train, "train").otherwise("test")
     return df.where(when.isNotNull()).withColumn("split", split).drop(year)
 
 
+def temporal_side(
+    df: DataFrame, which: str, year: str = "year", last_train: int = SPLIT_YEAR
+) -> DataFrame:
+    """One side of the temporal split, without the year.
+
+    The condition on the year reaches the scan: it skips row groups, and whole
+    folders of a table partitioned by year.
+    """
+    when = named(year)
+    chosen = {"train": when <= last_train, "test": when > last_train}[which]
+    return df.where(chosen).withColumn("split", F.lit(which)).drop(year)
+
+
 def split_profile(df: DataFrame, year: str = "year", last_train: int = SPLIT_YEAR) -> DataFrame:
     """Rows per year with the side of the temporal split, in year order."""
     split = F.when(F.col("year") <= last_train, "train").otherwise("test")

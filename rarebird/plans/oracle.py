@@ -372,7 +372,7 @@ ORACLE: dict[str, str] = {
         FILLED,
     ),
     "scaler_stats": with_(
-        f"SELECT feature, {r6('mean')} AS mean, {r6('deviation')} AS deviation FROM stats",
+        f"SELECT feature, {r4('mean')} AS mean, {r4('deviation')} AS deviation FROM stats",
         MEDIANS,
         FILLED,
         STATS,

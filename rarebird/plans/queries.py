@@ -276,7 +276,9 @@ def assemble(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def scaler_stats(spark: SparkSession, folder: str) -> DataFrame:
     filled, features = _filled(spark, folder)
-    return rounded(scaling.scaler_stats(split.side(filled, "train"), features))
+    stats = scaling.scaler_stats(split.side(filled, "train"), features)
+    # Amounts around 1e5: four decimals are ten digits, what summing in any order keeps.
+    return rounded(stats, 4)
 
 
 @query
