@@ -71,7 +71,7 @@ def main() -> None:
     # The four experiments at full size: 100 trees of depth 10 each.
     observations = staging.stage(derived.company_years(spark, FOLDER), "observations")
     began = time.perf_counter()
-    study = run_study(observations, derived.KEY)
+    study = run_study(observations, derived.KEY, parallelism=3)
     evaluated = study.evaluated.collect()
     seconds["full_study"] = time.perf_counter() - began
     rows = sum(r.n for r in evaluated if r.experiment == evaluated[0].experiment)

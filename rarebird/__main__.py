@@ -17,6 +17,7 @@ from rarebird.plans.experiments import run_study
 from rarebird.settings import EXPERIMENTS, SPLIT_YEAR, Roles
 from rarebird.sources.observations import load_observations
 from rarebird.sources.results import write_results
+from rarebird.sources.staging import drop_staged
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
@@ -57,6 +58,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     if options.output:
         write_results(study.results, options.output)
     evaluated.unpersist()
+    drop_staged(spark)
     print(f"total wall-clock time: {time.perf_counter() - began:.1f} s")
 
 

@@ -7,37 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.functions.columns import missing_to_null, named
+from rarebird.functions.long import long_form, per_feature, present
 from rarebird.settings import MIN_COVERAGE
 
 
 def coverage(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows, present values and their share for every feature.
+    """Rows, present values and their share for every feature, from one pass.
 
-    One wide aggregation over the rows; only its single result row is unpivoted.
-    The share is null for an empty table.
+    An empty table has no rows here either.
     """
-    present = [F.count(missing_to_null(named(f).cast("double"))).alias(f) for f in features]
-    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *present)
-    share = F.when(F.col("n") > 0, F.col("non_null") / F.col("n").cast("double"))
     return (
-        counts.unpivot("__rows", [named(f) for f in features], "feature", "non_null")
-        .withColumnRenamed("__rows", "n")
-        .select("feature", "n", "non_null", share.alias("share"))
+        long_form(df, features)
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(present()).alias("non_null"))
+        .select(
+            per_feature(features).alias("feature"),
+            "n",
+            "non_null",
+            (F.col("non_null") / F.col("n").cast("double")).alias("share"),
+        )
     )
 
 
 def well_covered(
     df: DataFrame, features: Sequence[str], min_share: float = MIN_COVERAGE
 ) -> DataFrame:
-    """Features present in at least ``min_share`` of the rows; all if no rows."""
-    share = F.col("share")
-    return coverage(df, features).where(share.isNull() | (share >= min_share))
+    """Features present in at least ``min_share`` of the rows."""
+    return coverage(df, features).where(F.col("share") >= min_share)
 
 
 def fit_features(
     train: DataFrame, features: Sequence[str], min_share: float = MIN_COVERAGE
 ) -> list[str]:
-    """Names of the features worth using, in table order, judged on train rows."""
-    kept = {r.feature for r in well_covered(train, features, min_share).collect()}
-    return [f for f in features if f in kept]
+    """Names of the features worth using, in table order, judged on train rows.
+
+    Without any rows there is nothing to judge by, and all features stay.
+    """
+    shares = {r.feature: r.share for r in coverage(train, features).collect()}
+    return [f for f in features if not shares or shares[f] >= min_share]

@@ -122,8 +122,10 @@ def _running_counts(scored: DataFrame, by: Sequence[str], ranges: Bucketizer) ->
         .orderBy(F.desc("score"))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    # One row per group and score range, whatever the number of scored rows.
-    joined = in_ranges(histogram(scored, by)).join(F.broadcast(starts), [*by, "bucket"])
+    # The totals have one row per group and range. Whether that is little enough
+    # to broadcast is left to Spark; partitioning both sides by the join's keys
+    # is no loss, as the running sums need the histogram that way.
+    joined = in_ranges(histogram(scored, by)).join(starts, [*by, "bucket"])
     return joined.select(
         *by,
         *[F.col(c).cast("double") for c in ("pos", "neg", "all_pos", "all_neg")],

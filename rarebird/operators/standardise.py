@@ -7,21 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.functions.columns import missing_to_null, named
+from rarebird.functions.columns import named
+from rarebird.functions.long import long_values, per_feature
 
 
 def scaler_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, mean, deviation), deviation with n - 1, from one aggregation."""
-    values = df.select([missing_to_null(named(f).cast("double")).alias(f) for f in features])
-    pairs = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.avg(named(f)).alias("mean"),
-            F.stddev_samp(named(f)).alias("deviation"),
-        )
-        for f in features
-    ]
-    return values.agg(F.array(*pairs).alias("stats")).select(F.inline("stats"))
+    """(feature, mean, deviation), deviation with n - 1, from one pass."""
+    return (
+        long_values(df, features)
+        .groupBy("feature")
+        .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))
+        .select(per_feature(features).alias("feature"), "mean", "deviation")
+    )
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:

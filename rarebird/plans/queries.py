@@ -64,13 +64,18 @@ def _cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return observations.clean(keyed, keep=("emis_id", "key_year", "split"))
 
 
+def _staged(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, written once for queries that pass over it several times."""
+    return staging.stage(_cleaned(spark, folder), "cleaned", partition_by="split")
+
+
 def _features(cleaned: DataFrame) -> list[str]:
     return observations.feature_columns(cleaned, exclude=("emis_id", "key_year", "split"))
 
 
 def _filled(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
     """Well covered features, missing values filled with exact train medians."""
-    cleaned = _cleaned(spark, folder)
+    cleaned = _staged(spark, folder)
     train = split.side(cleaned, "train")
     features = cov.fit_features(train, _features(cleaned))
     filled = impute.fill_missing(cleaned, medians.fit_exact_medians(train, features))
@@ -86,7 +91,8 @@ def _confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.evaluate(_scored(spark, folder))
+    """Areas take three passes over the scores, so those are written once."""
+    return ev.evaluate(staging.stage(_scored(spark, folder), "scored"))
 
 
 # Sources and sinks.
@@ -239,14 +245,14 @@ def weighted_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def feature_medians(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = _cleaned(spark, folder)
+    cleaned = _staged(spark, folder)
     train = split.side(cleaned, "train")
     return rounded(medians.exact_medians(train, cov.fit_features(train, _features(cleaned))))
 
 
 @query
 def feature_medians_approx(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = _cleaned(spark, folder)
+    cleaned = _staged(spark, folder)
     train = split.side(cleaned, "train")
     found = medians.fit_approximate_medians(train, cov.fit_features(train, _features(cleaned)))
     return spark.createDataFrame(list(found.items()), "feature string, median double")
@@ -259,7 +265,7 @@ def impute_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def impute_ml(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = _cleaned(spark, folder)
+    cleaned = _staged(spark, folder)
     train = split.side(cleaned, "train")
     features = cov.fit_features(train, _features(cleaned))
     imputed = impute.median_imputer(features).fit(train).transform(cleaned)
@@ -325,7 +331,7 @@ def pca_explained(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = staging.stage(_cleaned(spark, folder), "cleaned")
+    cleaned = _staged(spark, folder)
     train = split.side(cleaned, "train")
     features = cov.fit_features(train, _features(cleaned))
     weighted = weights.fit_class_weights(train).apply(train)
@@ -362,8 +368,8 @@ def metrics_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def _area(name: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        areas = ev.areas(_scored(spark, folder))
-        return rounded(areas.select("experiment", "split", F.col(name).alias("value")))
+        evaluated = _evaluated(spark, folder)
+        return rounded(evaluated.select("experiment", "split", F.col(name).alias("value")))
 
     return run
 
@@ -417,13 +423,13 @@ def split_comparison(spark: SparkSession, folder: str) -> DataFrame:
     divided = split.split_policies(_observations(spark, folder), policies)
     rows = divided.where("split = 'test'")
     score, at = derived.formula_scores()[NAMES[0]]
-    scored = rows.select(
+    scores = rows.select(
         "policy",
         F.col("main_label").alias("label"),
         (score >= at).cast("int").alias("prediction"),
         score.alias("score"),
     )
-    evaluated = ev.evaluate(scored, by=("policy",))
+    evaluated = ev.evaluate(staging.stage(scores, "scored"), by=("policy",))
     long = reports.metrics_long(evaluated, ("policy",), (*METRICS, *ev.AREAS, "fp", "fn"))
     return rounded(reports.compare(long, "policy", "random", "temporal"))
 

@@ -66,6 +66,8 @@ class ForestSettings:
     # Node statistics gathered per pass over the data. This holds the deepest
     # level of all trees at once, so each level costs one pass.
     memory_mb: int = 512
+    # Largest table of reached nodes (4 bytes per row and tree) to keep, cluster-wide.
+    node_id_bytes: int = 64 * 2**30
 
 
 @dataclass(frozen=True)

@@ -25,8 +25,22 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="rarebird-")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rarebird-{uuid.uuid4().hex}/{name}"
+    """A fresh folder on shared storage, remembered until ``drop_staged``."""
+    parent = f"{shared_folder(spark)}/rarebird-{uuid.uuid4().hex}"
+    _written.append(parent)
+    return f"{parent}/{name}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this process has staged; nothing may read it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ import re
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rarebird.functions import long
 from rarebird.operators import coverage, evaluation, medians, split
 from rarebird.sources import derived, observations, staging
 
@@ -48,10 +50,10 @@ def test_only_wanted_columns_are_read(table):
     )
 
 
-def test_coverage_is_one_aggregation_without_row_expansion(table):
+def test_coverage_moves_only_counts(table):
     text = plan(coverage.coverage(table, ["order_sd", "acctbal"]))
     assert text.count("Exchange") == 1
-    assert text.index("Expand") < text.index("Exchange")  # after aggregating, not before
+    assert text.index("Exchange") < text.index("partial_count") < text.index("Generate")
 
 
 def test_split_and_cleaning_do_not_shuffle(table):
@@ -74,6 +76,10 @@ def test_scores_are_counted_before_they_move(spark):
     assert "SinglePartition" not in text
 
 
-def test_exact_medians_shuffle_counted_values(table):
-    text = plan(medians.exact_medians(table, ["order_sd", "acctbal"]))
-    assert "partial_count" in text
+def test_bins_are_counted_before_they_move(table):
+    values = long.long_values(table, ["order_sd", "acctbal"])
+    text = plan(medians._count_bins(values, F.col("value")))
+    assert text.index("partial_count") > text.index("Exchange hashpartitioning(feature, _groupingexpression")
+    assert re.search(r"ReadSchema: struct<([^>]*)>", text).group(1) == (
+        "order_sd:double,acctbal:double"
+    )
