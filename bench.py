@@ -59,8 +59,10 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     warm = os.path.join(os.path.dirname(FOLDER), "sf0.001")
+    warm = warm if os.path.isdir(warm) else FOLDER
     for name in HEADLINE:
-        run(REGISTRY[name](spark, warm if os.path.isdir(warm) else FOLDER))
+        run(REGISTRY[name](spark, warm))
+    run_study(staging.stage(derived.company_years(spark, warm), "warm"), derived.KEY)
 
     seconds = {}
     for name in HEADLINE:

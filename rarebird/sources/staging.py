@@ -55,9 +55,10 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for small tables ahead of a model fit.
+    """Even partitions for model fits and scoring, which are bound by computing.
 
-    A table that already has as many is returned as it is, unshuffled.
+    Only a table of fewer than two partitions per core is shuffled; a larger one
+    keeps all cores busy as it is.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
