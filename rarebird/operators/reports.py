@@ -100,14 +100,20 @@ def result_table(
     definitions: dict[str, str] = CLUSTER_DEFINITIONS,
     digits: int | None = 4,
 ) -> DataFrame:
-    """The result file's layout, with the training time of each experiment."""
+    """The result file's layout, with the training time of each experiment.
+
+    Experiments come in the order of ``times``.
+    """
     split = F.col("split")
 
     def shown(metric: str, side: str) -> Column:
         value = _pick(split == side.lower(), definitions.get(metric, metric))
         return value if digits is None else F.round(value, digits)
 
-    seconds = F.create_map(*[F.lit(x) for pair in times.items() for x in pair])
+    def by_name(values: dict) -> Column:
+        table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        return F.try_element_at(table, F.col("Experiment"))
+
     metrics = [
         shown(metric, side).alias(side + short)
         for short, metric in RESULT_METRICS.items()
@@ -115,5 +121,7 @@ def result_table(
     ]
     cells = [_pick(split == "test", c.lower()).alias("Test_" + c) for c in CELLS]
     table = evaluated.groupBy(F.col("experiment").alias("Experiment")).agg(*metrics, *cells)
-    taken = F.round(F.try_element_at(seconds, F.col("Experiment")), 1)
-    return table.withColumn("TrainTime_s", taken).select(RESULT_SCHEMA.names)
+    ordered = table.orderBy(by_name({name: i for i, name in enumerate(times)}))
+    return ordered.withColumn("TrainTime_s", F.round(by_name(times), 1)).select(
+        RESULT_SCHEMA.names
+    )

@@ -33,7 +33,8 @@ def exact_sample(
     in, and the rows of that one prefix are ranked. No task ever holds the
     sample; more digits make the ranked group smaller.
 
-    The keys must identify a row: rows that share a key come in together.
+    The keys must identify a row: rows that share a key come in together, and
+    are counted as one hash however many they are.
     """
     if n <= 0:
         return df.where(F.lit(False))
@@ -48,11 +49,15 @@ def exact_sample(
         .where((F.col("upto") >= n) & (F.col("upto") - F.col("held") < n))
         .select("prefix", (F.lit(n) - F.col("upto") + F.col("held")).alias("room"))
     )
-    by_hash = W.partitionBy("prefix").orderBy("hash")
+    by_hash = (
+        W.partitionBy("prefix").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     cut = (
         prefixed.join(F.broadcast(last_prefix), "prefix")  # one row at most
-        .withColumn("rank", F.row_number().over(by_hash))
-        .where("rank = room")
+        .groupBy("prefix", "room", "hash")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .withColumn("upto", F.sum("held").over(by_hash))
+        .where("upto >= room AND upto - held < room")
         .select("hash")
     )
     # Without an n-th row the subquery is null, and every row is taken.

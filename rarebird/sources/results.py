@@ -36,7 +36,7 @@ RESULT_SCHEMA = T.StructType(
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Write a result table as one CSV file with a header.
+    """Write a result table as one CSV file with a header, in its row order.
 
     One output file is right here only because there is a row per experiment.
     """

@@ -143,6 +143,15 @@ def test_exact_sample_bounds(keyed):
     assert small < set(rows_of(sample.exact_sample(keyed, KEYS, 200)))
 
 
+def test_exact_sample_keeps_rows_of_a_hot_key_together(spark):
+    table = spark.range(9000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id")
+    for n in (1, 500, 3000, 5999):
+        drawn = sample.exact_sample(table, ["k"], n, digits=1)
+        total, hot = drawn.count(), drawn.where("k = -1").count()
+        assert hot in (0, 3000)
+        assert total == n if not hot else n <= total <= n + 3000
+
+
 def test_temporal_split(spark):
     table = spark.createDataFrame([(1, 2017), (2, 2018), (3, None)], "id int, year int")
     assert rows_of(split.temporal_split(table)) == [(1, "train"), (2, "test")]
