@@ -81,8 +81,8 @@ def test_unknown_split_is_refused(observations):
         run_study(observations, derived.KEY, split="stratified")
 
 
-def test_one_pipeline_equals_shared_preparation(spark, observations):
-    """The pipeline of one experiment and the shared path train the same forest."""
+def test_prepared_rows_train_a_forest(spark, observations):
+    """Both splits are prepared, evaluated, and fit for a forest of their own."""
     prepared, features = prepare(hash_split(observations, derived.KEY))
     assert prepared.select("split").distinct().count() == 2
     scored, _ = score_all(prepared, len(features), EXPERIMENTS[:1], TINY)
