@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarebird.llm import curriculum, quality_classifier, quality_rules, secret_scan, token_counts
+from rarebird.llm import bit_sliced, curriculum, html_wrappers, quality_classifier, quality_rules, secret_scan, token_counts
 from rarebird.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ten vectors have the largest inner product with every hundredth?"""
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is the main text of each page?"""
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How good is each document, from 0 to 1?"""
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,6 +53,8 @@ REGISTRY: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_quality_rules,
+        op3_bit_sliced_topk,
+        op4_html_extraction,
         op5_quality_classifier,
         op6_curriculum_mix,
         op7_token_counts,
@@ -49,4 +62,7 @@ REGISTRY: dict[str, Query] = {
     )
 }
 
-ORACLE: dict[str, str] = {"op6_curriculum_mix": curriculum.ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_bit_sliced_topk": bit_sliced.ORACLE,
+    "op6_curriculum_mix": curriculum.ORACLE,
+}
