@@ -8,8 +8,8 @@ position in training, between 0 and 1, and documents are range-sorted by positio
 
 Within a source, documents are laid out in the order of a hash of their id. The
 running total of words over that order is found without sorting a source in one
-task: hash buckets of some ten thousand rows are summed, bucket totals are run up
-per source, and only rows of a bucket are put in order together.
+task: hash buckets of some thousand rows are summed, bucket totals are run up per
+source, and only rows of a bucket are put in order together.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ MAX_REPEAT = 2
 #: mean, repeating like the weights: first sources fade, second ones grow.
 SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 #: Rows of a hash bucket, about.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 def _cycle(values: Sequence[float], index: Column) -> Column:
@@ -98,12 +98,21 @@ def lay_out(sizes: DataFrame, order: Sequence[str], bucket_rows: int = BUCKET_RO
     bits = min(31, max(0, ceil(rows / bucket_rows) - 1).bit_length())
     prefix = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     bucketed = sizes.withColumn("bucket", F.shiftright(prefix, 32 - bits))
-    per_source = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    # Running totals in two steps, so that no window holds more than about the
+    # square root of a source's buckets.
+    coarse = F.shiftright("bucket", bits // 2)
+    sums = bucketed.groupBy("source", "bucket", coarse.alias("part")).agg(F.sum("size").alias("words"))
+    up_to = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    run = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
+    parts = (
+        sums.groupBy(F.col("source").alias("from"), F.col("part").alias("p"))
+        .agg(F.sum("words").alias("part_words"))
+        .withColumn("before", run("part_words", up_to("from", "p")))
+    )
     totals = (
-        bucketed.groupBy("source", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
-        .withColumn("ahead", F.coalesce(F.sum("bucket_size").over(per_source), F.lit(0)))
-        .select(F.col("source").alias("of"), F.col("bucket").alias("nr"), "ahead")
+        sums.withColumn("within", run("words", up_to("source", "part", "bucket")))
+        .join(parts, F.col("source").eqNullSafe(F.col("from")) & (F.col("part") == F.col("p")))
+        .select(F.col("source").alias("of"), F.col("bucket").alias("nr"), (F.col("before") + F.col("within")).alias("ahead"))
     )
     inside = W.partitionBy("source", "bucket").orderBy("key", *order).rowsBetween(W.unboundedPreceding, -1)
     return (
