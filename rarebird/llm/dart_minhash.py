@@ -60,6 +60,11 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, alike in all processes."""
+    return mixed(np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)))
+
+
 def elements(text: str | None, weighting: str = "set", shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Ids and weights of a text's runs of words, by ascending id.
 
@@ -69,7 +74,7 @@ def elements(text: str | None, weighting: str = "set", shingle: int = SHINGLE) -
     found = words(text)
     if not found:
         return np.empty(0, np.uint64), np.empty(0)
-    h = mixed(np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)))
+    h = word_hashes(found)
     n = max(1, len(h) - shingle + 1)
     ids = np.zeros(n, np.uint64)
     for k in range(min(shingle, len(h))):

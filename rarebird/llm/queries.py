@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarebird.llm import bit_sliced, curriculum, dart_minhash, html_wrappers, quality_classifier, quality_rules, secret_scan, token_counts
+from rarebird.llm import backoff_scores, bit_sliced, curriculum, dart_minhash, html_wrappers, quality_classifier, quality_rules, secret_scan, token_counts
 from rarebird.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely is each document under the pairs of words of all documents?"""
+    return backoff_scores.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which ten vectors have the largest inner product with every hundredth?"""
     vectors = table(spark, sf_dir, "embeddings")
@@ -58,6 +63,7 @@ REGISTRY: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_quality_rules,
+        op2_backoff_scores,
         op3_bit_sliced_topk,
         op4_html_extraction,
         op5_quality_classifier,
@@ -69,6 +75,7 @@ REGISTRY: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_backoff_scores": backoff_scores.ORACLE,
     "op3_bit_sliced_topk": bit_sliced.ORACLE,
     "op6_curriculum_mix": curriculum.ORACLE,
 }
