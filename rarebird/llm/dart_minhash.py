@@ -21,10 +21,9 @@ Classes are the connected components of the links.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +47,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """Two CRCs of a word make 64 bits, remembered within a bound."""
+    """64-bit hashes of words, remembered within a bound."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = zlib.crc32(word) << 32 | zlib.crc32(word + b"\x00", 0xFFFFFFFF)
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -62,7 +61,7 @@ _words = _WordHashes()
 
 def word_hashes(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words, alike in all processes."""
-    return mixed(np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)))
+    return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
 
 
 def elements(text: str | None, weighting: str = "set", shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarebird.llm import backoff_scores, bit_sliced, curriculum, dart_minhash, html_wrappers, quality_classifier, quality_rules, secret_scan, token_counts
+from rarebird.llm import backoff_scores, bit_sliced, curriculum, dart_minhash, html_wrappers, quality_classifier, quality_rules, secret_scan, shared_prefix, token_counts
 from rarebird.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How does each document encode, and does it decode to itself?"""
+    return shared_prefix.encoded_report(table(spark, sf_dir, "documents"))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which class of near-duplicates is each document in?"""
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ REGISTRY: dict[str, Query] = {
         op6_curriculum_mix,
         op7_token_counts,
         op8_secret_scan,
+        op9_sentencepiece,
         op10_dart_minhash,
     )
 }
