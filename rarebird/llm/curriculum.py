@@ -185,13 +185,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     The columns are those of ``docs``. Documents that the mix does not take are
     left out; of the one that is taken in part the last copy stays whole.
     """
-    place = free_name(docs, "place")
-    mixed = mix(docs, text, source, id_column, keep=docs.columns)
-    return (
-        mixed.select(*(F.col(c) for c in docs.columns if c != id_column), F.col(id_column), F.explode("positions").alias(place))
-        .orderBy(place, id_column)
-        .select(*docs.columns)
-    )
+    place, row = free_name(docs, "place"), free_name(docs, "row_key")
+    told = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in docs.columns]
+    keyed = docs.withColumn(row, F.md5(F.concat_ws("\x1f", *told)))
+    placed = mix(keyed, text, source, id_column, keep=[row]).select(row, F.explode("positions").alias(place))
+    # Texts move once to meet their places: rows alike in all columns are one row here.
+    return keyed.dropDuplicates([row]).join(placed, row).orderBy(place, row).select(*docs.columns)
 
 
 #: What ``mix`` gives for the table documents, for DuckDB.

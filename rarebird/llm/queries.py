@@ -64,6 +64,13 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the corpus that training gets, encoded, in training order."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTRY: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -77,6 +84,7 @@ REGISTRY: dict[str, Query] = {
         op8_secret_scan,
         op9_sentencepiece,
         op10_dart_minhash,
+        pipeline,
     )
 }
 

@@ -221,6 +221,12 @@ def mask(docs: DataFrame, text: str = "text", rules=RULES, sign: str = "[SECRET]
     return docs.withColumn(text, masked(text))
 
 
+def masked_documents(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """``mask``, with the length of the text counted anew in n_chars, if there is such a column."""
+    out = mask(docs, text, rules)
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def secret_report(docs: DataFrame, text: str = "text", id_column: str = "doc_id", rules=RULES) -> DataFrame:
     """Per row: the id, counts of the base kinds, a digest of their spans, all spans as text."""
     spans = free_name(docs, "spans")

@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.llm.common import tokenizer_path
+from rarebird.llm.common import free_name, tokenizer_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -225,6 +225,15 @@ def decode(rows: DataFrame, ids: str = "token_ids", into: str = "text", path: st
     return rows.withColumn(into, texts(ids))
 
 
+def encoded_documents(
+    docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang", "source"), path: str = MODEL
+) -> DataFrame:
+    """Columns ``keep``, n_tokens and token_ids of every row."""
+    ids = free_name(docs, "token_ids")
+    rows = encode(docs.select(*keep, text), text, ids, path)
+    return rows.select(*keep, F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("token_ids"))
+
+
 def encoded_report(docs: DataFrame, text: str = "text", id_column: str = "doc_id", path: str = MODEL) -> DataFrame:
     """Per row: the id, n_tokens, ids_sha256 (of the ids as text, comma-joined) and round_trip.
 
