@@ -16,7 +16,8 @@ word; a pair with a rare first word meets all pairs it begins; a pair of two
 rare words goes to both parts, and is scored by the one that has what it needs.
 
 N-grams travel packed, as arrays of each block of rows: hot words as two bytes,
-documents as places in the block.
+documents as places in the block. Sums go back packed the same way and are added a
+block at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,7 +174,7 @@ def pack(frames: Iterator[pd.DataFrame], c: Counts, parts: int) -> Iterator[pd.D
             ("rr_first", ~hot_a & ~hot_b, lambda m: mixed(before_h[m]), before_h, h),
             ("rr_second", ~hot_a & ~hot_b, lambda m: mixed(h[m]), before_h, h),
         ]
-        sent: dict[int, dict] = {int(mixed(keys[:1].view(np.uint64))[0] % np.uint64(parts)): {"done": done}}
+        sent: dict[int, dict] = {int(mixed(keys[:1].view(np.uint64))[0] % np.uint64(parts)): {"done": (keys, done)}}
         for kind, mask, deal, a, b in kinds:
             at = np.flatnonzero(mask)
             to = (deal(at) % np.uint64(parts)).astype(np.int64)
@@ -183,10 +185,13 @@ def pack(frames: Iterator[pd.DataFrame], c: Counts, parts: int) -> Iterator[pd.D
             for some in np.split(at, cuts) if len(at) else []:
                 part = int(deal(some[:1])[0] % np.uint64(parts))
                 sent.setdefault(part, {})[kind] = (doc[some].astype(np.uint16), small(a[some]), small(b[some]))
+        block = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
         yield pd.DataFrame(
             {
                 "part": list(sent),
-                "pairs": [pickle.dumps((keys, some), protocol=5) for some in sent.values()],
+                "block": block,
+                "n": len(keys),
+                "pairs": [pickle.dumps(some, protocol=5) for some in sent.values()],
             }
         )
 
@@ -197,18 +202,18 @@ def _times(x: np.ndarray) -> np.ndarray:
     return n[at]
 
 
-def score_part(blobs: list[bytes], c: Counts) -> pd.DataFrame:
-    """Sums per document over the pairs of one part."""
-    blocks = [pickle.loads(b) for b in blobs]
-    keys = np.concatenate([k for k, _ in blocks])
-    offsets = np.cumsum([0] + [len(k) for k, _ in blocks])
-    out = np.zeros((2, len(keys)))
-    for at, (k, some) in zip(offsets, blocks):
+def score_part(frame: pd.DataFrame, c: Counts) -> pd.DataFrame:
+    """Sums per document of each block over the pairs of one part, packed."""
+    frame = frame.reset_index(drop=True)
+    blocks = [pickle.loads(b) for b in frame["pairs"]]
+    offsets = np.concatenate([[0], np.cumsum(frame["n"])])
+    out = np.zeros((2, offsets[-1]))
+    for at, some in zip(offsets, blocks):
         if "done" in some:
-            out[:, at : at + len(k)] += some["done"]
+            out[:, at : at + len(some["done"][0])] += some["done"][1]
 
     def gathered(kind: str, a_type, b_type):
-        found = [(at, some[kind]) for at, (_, some) in zip(offsets, blocks) if kind in some]
+        found = [(at, some[kind]) for at, some in zip(offsets, blocks) if kind in some]
         join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.empty(0, kind)
         return (
             join([at + x[0].astype(np.int64) for at, x in found], np.int64),
@@ -219,7 +224,7 @@ def score_part(blobs: list[bytes], c: Counts) -> pd.DataFrame:
     def add(doc, share, back) -> None:
         nonlocal out
         if len(doc):
-            out += _sums(doc, len(keys), _logs(share), back)
+            out += _sums(doc, offsets[-1], _logs(share), back)
 
     pair = lambda a, b: mixed(mixed(a.astype(np.uint64)) * np.uint64(3) + b.astype(np.uint64))
     doc, a, b = gathered("hh", np.int64, np.int64)
@@ -246,10 +251,25 @@ def score_part(blobs: list[bytes], c: Counts) -> pd.DataFrame:
     n12 = _times(pair(a2, b2))
     seen = n12 >= LEAST
     add(doc2[seen], (n12 / begun[len(a) :])[seen], np.zeros(int(seen.sum())))
-    touched = np.flatnonzero(out.any(axis=0))
-    return pd.DataFrame(
-        {"key": keys[touched], "micro": out[0, touched].astype(np.int64), "back": out[1, touched].astype(np.int64)}
-    )
+    sums = []
+    for at, end, some in zip(offsets, offsets[1:], blocks):
+        micro, back = out[:, at:end].astype(np.int64)
+        touched = np.flatnonzero(micro | back).astype(np.uint16)
+        keys = some["done"][0] if "done" in some else None
+        sums.append(pickle.dumps((keys, touched, micro[touched], back[touched].astype(np.int32)), protocol=5))
+    return pd.DataFrame({"block": frame["block"], "n": frame["n"], "sums": sums})
+
+
+def add_block(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums per document of one block, from those of all parts."""
+    micro, back = np.zeros((2, frame["n"].iloc[0]), np.int64)
+    keys = None
+    for blob in frame["sums"]:
+        some_keys, at, some_micro, some_back = pickle.loads(blob)
+        keys = keys if some_keys is None else some_keys
+        micro[at] += some_micro
+        back[at] += some_back
+    return pd.DataFrame({"key": keys, "micro": micro, "back": back})
 
 
 def backoff_scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -271,12 +291,14 @@ def backoff_scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         return pack(frames, sent.value, parts)
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        return score_part(frame["pairs"].tolist(), sent.value)
+        return score_part(frame, sent.value)
 
     sums = (
-        rows.mapInPandas(packed, "part int, pairs binary")
+        rows.mapInPandas(packed, "part int, block long, n int, pairs binary")
         .groupBy("part")
-        .applyInPandas(score, "key long, micro long, back long")
+        .applyInPandas(score, "block long, n int, sums binary")
+        .groupBy("block")
+        .applyInPandas(add_block, "key long, micro long, back long")
         .groupBy("key")
         .agg(F.sum("micro").alias("micro"), F.sum("back").alias("back"))
         .withColumnRenamed("key", "of")
