@@ -15,7 +15,8 @@ similarity of candidates is computed in full. In a bucket, all texts are compare
 with its least one only. Texts unlike it are taken on in a bucket of their own.
 A text unlike it may still be like one that was like it, but only within what the
 triangle inequality of the Jaccard distance allows; those pairs are compared too.
-So no like pair of a bucket is lost, and no bucket emits all of its pairs.
+So no like pair of a bucket is lost, and no bucket emits all of its pairs. What is
+left of a bucket after some rounds is finished within a task, once it is small.
 Classes are the connected components of the links.
 """
 
@@ -34,6 +35,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5 miss a pair of similarity 0.8 once in 300,000.
 BANDS = 32
+#: Rounds in which the texts of all buckets are compared with their least one, and
+#: the largest buckets that a task then finishes.
+ROUNDS = 2
+SMALL_BUCKET = 256
+SMALL_PIECES = 1_000_000
 ROWS = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -166,22 +172,71 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def link_bucket(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join all texts of a small bucket that a chain of like pairs of it joins."""
+    far, found = 1.0 - least, []
+    pieces = [set(s.tolist()) for s in sets]
+
+    def distance(i: int, j: int) -> float:
+        common = len(pieces[i] & pieces[j])
+        return 1.0 - common / (len(pieces[i]) + len(pieces[j]) - common)
+
+    left = sorted(range(len(ids)), key=ids.__getitem__)
+    while len(left) > 1:
+        first, *rest = left
+        d = {i: distance(first, i) for i in rest}
+        like = [i for i in rest if 1.0 - d[i] >= least]
+        left = [i for i in rest if 1.0 - d[i] < least]
+        found += [(ids[first], ids[i]) for i in like]
+        for x in left:
+            for y in like:
+                if d[x] - d[y] <= far + 1e-9 and 1.0 - distance(x, y) >= least:
+                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    break  # y and all that are like the first text are joined already
+    return found
+
+
+def _finish(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links within buckets, each compared in one task."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("id")
+        found = link_bucket(frame["id"].tolist(), frame["pieces"].tolist(), least)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return members.select("bucket", "id").join(sets, "id").groupBy("bucket").applyInPandas(one, "a long, b long")
+
+
 def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join all texts of each bucket that a chain of like pairs of it joins.
 
-    ``members`` has rows of bucket and id, staged; buckets of one are ignored.
+    ``members`` has rows of bucket and id, staged. All buckets go through
+    ``ROUNDS`` rounds of comparing with the least text; what is left then in
+    buckets of up to ``SMALL_BUCKET`` texts and ``SMALL_PIECES`` pieces is
+    compared in the same way within a task, larger ones have more rounds.
     """
     found: list[DataFrame] = []
-    far = 1.0 - least
+    far, rounds = 1.0 - least, 0
+    sizes = stage(sets.select("id", F.size("pieces").alias("n")), "set-sizes")
     while True:
-        least_one = members.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("last"))
-        several = least_one.filter("a < last").select("bucket", "a")
+        whole = members.join(sizes, "id").groupBy("bucket")
+        buckets = stage(
+            whole.agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("texts"), F.sum("n").alias("n"))
+            .filter("a < last")
+            .withColumn("small", (F.col("texts") <= SMALL_BUCKET) & (F.col("n") <= SMALL_PIECES) & F.lit(rounds >= ROUNDS)),
+            "buckets",
+        )
+        small = buckets.filter("small").select("bucket")
+        if rounds >= ROUNDS:
+            found.append(stage(_finish(members.join(small, "bucket", "left_semi"), sets, least).distinct(), "small-links"))
+        large = buckets.filter("not small").select("bucket", "a")
         pairs = stage(
-            members.join(several, "bucket").filter("id <> a").select("bucket", "a", F.col("id").alias("b")).distinct(),
+            members.join(large, "bucket").filter("id <> a").select("bucket", "a", F.col("id").alias("b")).distinct(),
             "bucket-pairs",
         )
         if pairs.isEmpty():
             break
+        rounds += 1
         compared = pairs.join(_similarities(pairs, sets), ["a", "b"]).withColumn("d", 1.0 - F.col("similarity"))
         found.append(compared.filter(F.col("similarity") >= least).select("a", "b").distinct())
         unlike = compared.filter(F.col("similarity") < least)
@@ -191,16 +246,11 @@ def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             "bucket", F.col("b").alias("y"), F.col("d").alias("dy")
         )
         across = near.join(like, "bucket").filter(F.col("dx") - F.col("dy") <= far + 1e-9)
-        across = stage(
-            across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "bucket-across"
-        )
-        if not across.isEmpty():
-            found.append(_similarities(across, sets).filter(F.col("similarity") >= least).select("a", "b"))
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found.append(_similarities(across, sets).filter(F.col("similarity") >= least).select("a", "b"))
         members = stage(unlike.select("bucket", F.col("b").alias("id")), "bucket-left")
-    if not found:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    out = found[0]
-    for more in found[1:]:
+    out = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for more in found:
         out = out.unionByName(more)
     return out.distinct()
 
