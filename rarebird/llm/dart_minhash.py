@@ -35,11 +35,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5 miss a pair of similarity 0.8 once in 300,000.
 BANDS = 32
-#: Rounds in which the texts of all buckets are compared with their least one, and
-#: the largest buckets that a task then finishes.
-ROUNDS = 2
-SMALL_BUCKET = 256
+#: The largest buckets that a task finishes.
+SMALL_BUCKET = 2_048
 SMALL_PIECES = 1_000_000
+#: Rows of small tables that a task holds.
+TASK_ROWS = 200_000
 ROWS = 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,7 +162,7 @@ def _pieces(weighting: str, shingle: int) -> Column:
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with the Jaccard similarity of their sets."""
+    """Distinct pairs (a, b) with the Jaccard similarity of their sets, staged."""
     one = sets.select(F.col("id").alias("a"), F.col("pieces").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("pieces").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -172,99 +172,137 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def link_bucket(ids: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that join all texts of a small bucket that a chain of like pairs of it joins."""
+def link_bucket(ids: list[int], sets: list[np.ndarray], classes: list[int], least: float) -> list[tuple[int, int]]:
+    """Links that join all texts of a small bucket that a chain of like pairs of it joins.
+
+    Texts of one of the ``classes`` are joined already. The bucket's texts are
+    compared with the least one; those unlike it are compared with the ones like
+    it, as far as the triangle inequality asks for, until a link joins them; then
+    the same is done with those unlike it.
+    """
     far, found = 1.0 - least, []
     pieces = [set(s.tolist()) for s in sets]
+    parent = {c: c for c in classes}
+
+    def root(i: int) -> int:
+        c = classes[i]
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
 
     def distance(i: int, j: int) -> float:
+        low, high = sorted((len(pieces[i]), len(pieces[j])))
+        if low < (1.0 - 2 * far) * high:
+            return 1.0  # too far for any use
         common = len(pieces[i] & pieces[j])
         return 1.0 - common / (len(pieces[i]) + len(pieces[j]) - common)
 
+    def link(i: int, j: int) -> None:
+        if root(i) != root(j):
+            found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            parent[root(i)] = root(j)
+
     left = sorted(range(len(ids)), key=ids.__getitem__)
-    while len(left) > 1:
+    while len({root(i) for i in left}) > 1:
         first, *rest = left
         d = {i: distance(first, i) for i in rest}
         like = [i for i in rest if 1.0 - d[i] >= least]
         left = [i for i in rest if 1.0 - d[i] < least]
-        found += [(ids[first], ids[i]) for i in like]
+        for i in like:
+            link(first, i)
         for x in left:
-            for y in like:
-                if d[x] - d[y] <= far + 1e-9 and 1.0 - distance(x, y) >= least:
-                    found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                    break  # y and all that are like the first text are joined already
+            if d[x] <= 2 * far + 1e-9:
+                for y in like:
+                    if root(x) == root(first):
+                        break
+                    if d[x] - d[y] <= far + 1e-9 and 1.0 - distance(x, y) >= least:
+                        link(x, y)
     return found
 
 
 def _finish(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links within buckets, each compared in one task."""
+    """Links within buckets, each compared in one task; ``members`` has bucket, id and root."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("id")
-        found = link_bucket(frame["id"].tolist(), frame["pieces"].tolist(), least)
+        found = link_bucket(frame["id"].tolist(), frame["pieces"].tolist(), frame["root"].tolist(), least)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return members.select("bucket", "id").join(sets, "id").groupBy("bucket").applyInPandas(one, "a long, b long")
+    rows = members.select("bucket", "id", "root").join(sets, "id")
+    return rows.groupBy("bucket").applyInPandas(one, "a long, b long")
 
 
-def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join all texts of each bucket that a chain of like pairs of it joins.
+def _fitted(df: DataFrame, rows: int) -> DataFrame:
+    """In as many partitions as ``rows``, a bound of its rows, call for."""
+    return df.coalesce(max(8, rows // TASK_ROWS))
+
 
-    ``members`` has rows of bucket and id, staged. All buckets go through
-    ``ROUNDS`` rounds of comparing with the least text; what is left then in
-    buckets of up to ``SMALL_BUCKET`` texts and ``SMALL_PIECES`` pieces is
-    compared in the same way within a task, larger ones have more rounds.
+def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """id and root, the least id of its class, of all ids that share a bucket with a like text.
+
+    ``members`` has rows of bucket, id and n (the size of the id's set), staged.
+    All texts are compared with the least one of each of their buckets, each pair
+    once. Texts that links join already, in whichever bucket those were found,
+    need no comparison: a bucket of one class is done. Other buckets of up to
+    ``SMALL_BUCKET`` texts and ``SMALL_PIECES`` pieces are finished within a task.
+    Larger ones are compared across, and what is left of them has another round.
     """
-    found: list[DataFrame] = []
-    far, rounds = 1.0 - least, 0
-    sizes = stage(sets.select("id", F.size("pieces").alias("n")), "set-sizes")
+    far, found, roots = 1.0 - least, None, None
     while True:
-        whole = members.join(sizes, "id").groupBy("bucket")
-        buckets = stage(
-            whole.agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count("*").alias("texts"), F.sum("n").alias("n"))
-            .filter("a < last")
-            .withColumn("small", (F.col("texts") <= SMALL_BUCKET) & (F.col("n") <= SMALL_PIECES) & F.lit(rounds >= ROUNDS)),
-            "buckets",
+        rows = members.count()
+        pairs = members.join(members.groupBy("bucket").agg(F.min("id").alias("a")), "bucket").filter("id <> a")
+        pairs = pairs.select("bucket", "a", F.col("id").alias("b"), "n")
+        compared = stage(
+            _fitted(pairs.join(_similarities(pairs, sets), ["a", "b"]), rows).withColumn("d", 1.0 - F.col("similarity")),
+            "bucket-compared",
         )
-        small = buckets.filter("small").select("bucket")
-        if rounds >= ROUNDS:
-            found.append(stage(_finish(members.join(small, "bucket", "left_semi"), sets, least).distinct(), "small-links"))
-        large = buckets.filter("not small").select("bucket", "a")
-        pairs = stage(
-            members.join(large, "bucket").filter("id <> a").select("bucket", "a", F.col("id").alias("b")).distinct(),
-            "bucket-pairs",
+        like, unlike = compared.filter(F.col("similarity") >= least), compared.filter(F.col("similarity") < least)
+        found = _linked(found, like.select("a", "b"), rows)
+        roots = components(found)
+        classed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = (
+            classed.groupBy("bucket")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("texts"), F.sum("n").alias("all"))
+            .filter("low < high")
+            .select("bucket", ((F.col("texts") <= SMALL_BUCKET) & (F.col("all") <= SMALL_PIECES)).alias("small"))
         )
-        if pairs.isEmpty():
-            break
-        rounds += 1
-        compared = pairs.join(_similarities(pairs, sets), ["a", "b"]).withColumn("d", 1.0 - F.col("similarity"))
-        found.append(compared.filter(F.col("similarity") >= least).select("a", "b").distinct())
-        unlike = compared.filter(F.col("similarity") < least)
+        left = stage(_fitted(classed.join(open_, "bucket"), rows), "bucket-open")
+        small = _finish(left.filter("small"), sets, least)
+        large = left.filter("not small").select("bucket").distinct()
+        if large.isEmpty():
+            return components(_linked(found, small, rows))
         # d(x, y) >= d(a, x) - d(a, y): only this near can x and y be like each other.
-        near = unlike.filter(F.col("d") <= 2 * far + 1e-9).select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"))
-        like = compared.filter(F.col("similarity") >= least).select(
-            "bucket", F.col("b").alias("y"), F.col("d").alias("dy")
+        near = unlike.join(large, "bucket").filter(F.col("d") <= 2 * far + 1e-9)
+        near = near.select("bucket", "a", F.col("b").alias("x"), F.col("d").alias("dx"))
+        apart = (
+            near.join(roots.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x", "left")
+            .join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
+            .filter(F.coalesce("rx", "x") != F.coalesce("ra", "a"))
+            .select("bucket", "x", "dx")
+        )
+        across = apart.join(like.select("bucket", F.col("b").alias("y"), F.col("d").alias("dy")), "bucket").filter(
+            F.col("dx") - F.col("dy") <= far + 1e-9
         )
-        across = near.join(like, "bucket").filter(F.col("dx") - F.col("dy") <= far + 1e-9)
-        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found.append(_similarities(across, sets).filter(F.col("similarity") >= least).select("a", "b"))
-        members = stage(unlike.select("bucket", F.col("b").alias("id")), "bucket-left")
-    out = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for more in found:
-        out = out.unionByName(more)
-    return out.distinct()
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        across = _similarities(across, sets).filter(F.col("similarity") >= least).select("a", "b")
+        found = _linked(found, small.unionByName(across), rows)
+        members = stage(unlike.join(large, "bucket").select("bucket", F.col("b").alias("id"), "n"), "bucket-left")
+
+
+def _linked(found: DataFrame | None, more: DataFrame, rows: int) -> DataFrame:
+    """All links so far; those from buckets of more rows than one fit the same partitions."""
+    return stage(_fitted((more if found is None else found.unionByName(more)).distinct(), rows), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and root, the least id of its component, for each id of the edges (a, b), a < b.
+    """id and root, the least id of its component, for each id of the staged edges (a, b), a < b.
 
-    Alternates two steps until nothing changes: every id links its larger
+    Alternates two steps until components are stars: every id links its larger
     neighbours to its least one, then every id links its smaller neighbours to
     the least one. Edges never grow in number; tables are written between steps.
     """
-    edges = stage(edges.select("a", "b"), "edges")
-    before = None
     while True:
+        rows = edges.count()
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy(F.col("a").alias("of")).agg(F.least(F.min("b"), F.col("of")).alias("m"))
         large = (
@@ -274,15 +312,18 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("a < b")
             .distinct()
         )
-        edges = stage(large, "edges-large")
+        edges = stage(_fitted(large, rows), "edges-large")
         least = edges.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("m"))
         joined = edges.join(least, F.col("b") == F.col("of"))
         small = joined.select(F.least("a", "m").alias("m"), F.col("a").alias("n")).filter("m < n")
-        edges = stage(small.union(least.select("m", "of")).toDF("a", "b").distinct(), "edges-small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
-        before = now
+        edges = stage(_fitted(small.union(least.select("m", "of")).toDF("a", "b").distinct(), rows), "edges-small")
+        ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            edges.select("b", F.lit(0), F.lit(1))
+        )
+        open_ = ends.groupBy("id").agg(F.max("up").alias("up"), F.sum("down").alias("down")).filter("down > 1 or up + down > 1")
+        if _fitted(open_, rows).isEmpty():
+            leaves = edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
+            return leaves.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
 def near_duplicates(
@@ -324,7 +365,7 @@ def near_duplicates(
         ),
         "shingle-sets",
     )
-    roots = components(links(members, sets, similarity))
+    roots = links(members.join(sets.select("id", F.size("pieces").alias("n")), "id"), sets, similarity)
     # Ids that several contents share join these contents too.
     own = firsts.join(roots, F.col("first") == F.col("id"), "left").select(
         "content", F.coalesce("root", "first").alias("root")
