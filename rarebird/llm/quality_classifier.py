@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.llm.common import Hashes
+from rarebird.llm.common import CACHE_WORDS, Hashes
 
 #: Labelled rows trained on at most: those with the smallest MD5 of their id.
 MAX_TRAINING_ROWS = 30_000
@@ -53,7 +53,7 @@ class _Shapes(dict):
         self.hashes = hashes
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = self[word] = self.hashes["\x01" + _shape(word)]
         return value

@@ -37,9 +37,9 @@ MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Characters of the texts whose words are walked together, about, and words whose
 #: ids, and pairs of pieces whose verdicts, a worker remembers.
-BLOCK_CHARS = 8_000_000
-REMEMBERED = 600_000
-PAIRS_REMEMBERED = 1_000_000
+BLOCK_CHARS = 2_000_000
+REMEMBERED = 400_000
+PAIRS_REMEMBERED = 400_000
 #: The score of a character that no piece covers, under a unigram model.
 UNKNOWN = -1e6
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -56,8 +56,7 @@ class Pieces:
             if len(piece) > 1:
                 lengths.setdefault(piece[-2:], set()).add(len(piece))
         self.lengths = {c: (*sorted(n, reverse=True), 1) for c, n in lengths.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        self.pairs: dict[int | tuple, bool] = {}
         # No piece may go on after a mark that follows another character.
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece of this model reaches across marked words")
@@ -76,14 +75,14 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: str, right: str, key) -> bool:
         """Whether merging the joined text gives the two pieces; on the left may be nothing."""
         if len(self.pairs) >= PAIRS_REMEMBERED:
             self.pairs.clear()
-        verdict = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        verdict = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return verdict
 
-    # A state is (last piece, state before, score).
+    # A state is (last piece, state before, score, the piece's id or a character without one).
     def advance(self, word: str, start: int, states: list[tuple]) -> None:
         """Appends the forward states of word[:start + 1], ..., word."""
         scores, lengths, pairs = self.scores, self.lengths, self.pairs
@@ -93,18 +92,21 @@ class Pieces:
                 if n > end or (piece := word[end - n : end]) not in scores:
                     continue
                 before = states[end - n]
+                number, score = scores[piece]
                 if self.unigram:
-                    total = before[2] + scores[piece][1]
+                    total = before[2] + score
                     if best is None or total > best[2]:
-                        best = (piece, before, total)
+                        best = (piece, before, total, number)
                     continue
-                verdict = pairs.get((before[0], piece))
-                if verdict or (verdict is None and self.compatible(before[0], piece)):
-                    best = (piece, before, 0.0)
+                left = before[3]
+                key = left << 20 | number if left.__class__ is int else (left, number)
+                verdict = pairs.get(key)
+                if verdict or (verdict is None and self.compatible(before[0], piece, key)):
+                    best = (piece, before, 0.0, number)
                     break
             if best is None:  # no piece ends here: the character stands for itself
-                before = states[end - 1]
-                best = (word[end - 1], before, before[2] + UNKNOWN if self.unigram else 0.0)
+                before, last = states[end - 1], word[end - 1]
+                best = (last, before, before[2] + UNKNOWN if self.unigram else 0.0, last)
             states.append(best)
 
     def ids(self, state: tuple) -> list[int]:
@@ -122,7 +124,7 @@ class Pieces:
 
     def walk(self, sorted_words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Words, given in sorted order, and their ids: the trie's words, depth-first."""
-        states: list[tuple] = [("", None, 0.0)]
+        states: list[tuple] = [("", None, 0.0, _NOTHING)]
         previous = ""
         for word in sorted_words:
             shared = 0
@@ -137,6 +139,8 @@ class Pieces:
 
 
 _ONE = (1,)
+#: Stands for a piece's id before the first piece.
+_NOTHING = 1 << 19
 _loaded: dict = {}
 
 
