@@ -53,13 +53,13 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     reports.experiment_table(evaluated).show(truncate=False)
     names = [e.name for e in EXPERIMENTS]
     for title, left, right in [("scaling", 0, 1), ("principal components", 1, 3)]:
-        print(f"Effect of {title}: {names[left]} -> {names[right]}")
+        print(f"What {title} changes, from {names[left]} to {names[right]}")
         reports.ablation(evaluated, names[left], names[right]).show(truncate=False)
     if options.output:
         write_results(study.results, options.output)
     evaluated.unpersist()
     drop_staged(spark)
-    print(f"total wall-clock time: {time.perf_counter() - began:.1f} s")
+    print(f"took {time.perf_counter() - began:.1f} s in all")
 
 
 if __name__ == "__main__":

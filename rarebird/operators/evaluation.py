@@ -8,9 +8,11 @@ score, the histogram; every metric is an expression over that.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,11 +24,25 @@ BY = ("experiment", "split")
 AREAS = ("auc_roc", "auc_pr", "average_precision")
 COUNTS = ("tp", "tn", "fp", "fn")
 BUCKETS = 1000
-BINS = 10_000
+
+
+def countable(scored: DataFrame) -> Column:
+    """Whether a row counts: label and prediction are 0 or 1, and a score, if there is one, is known."""
+    known = F.col("label").isin(0, 1) & F.col("prediction").isin(0, 1)
+    known = known & F.col("score").isNotNull() if "score" in scored.columns else known
+    return F.coalesce(known, F.lit(False))
+
+
+def left_out(scored: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Per group: rows that count in no metric, and all rows."""
+    return scored.groupBy(*by).agg(
+        F.count_if(~countable(scored)).alias("left_out"), F.count(F.lit(1)).alias("rows")
+    )
 
 
 def confusion(scored: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """tp, tn, fp and fn per group, in one pass; a few counters leave each task."""
+    scored = scored.where(countable(scored))
     positive, predicted = F.col("label") == 1, F.col("prediction") == 1
     negative, rejected = F.col("label") == 0, F.col("prediction") == 0
     return scored.groupBy(*by).agg(
@@ -56,19 +72,12 @@ def histogram(scored: DataFrame, by: Sequence[str] = BY) -> DataFrame:
         F.count_if(positive).alias("pos"),
         F.count_if(negative).alias("neg"),
         F.count_if(positive & predicted).alias("tp"),
+        F.count_if(negative & ~predicted).alias("tn"),
         F.count_if(negative & predicted).alias("fp"),
+        F.count_if(positive & ~predicted).alias("fn"),
     )
 
 
-def binned(
-    scored: DataFrame, low: float = 0.0, high: float = 1.0, bins: int = BINS
-) -> DataFrame:
-    """Scores rounded down to equal-width bins: smaller histogram, inexact areas."""
-    position = F.floor((F.col("score") - low) / (high - low) * bins)
-    inside = F.greatest(F.lit(0), F.least(F.lit(bins - 1), position))
-    return scored.withColumn("score", low + inside * ((high - low) / bins))
-
-
 def fit_score_buckets(scored: DataFrame, buckets: int = BUCKETS) -> Bucketizer:
     """Score ranges with about equally many rows, to spread the sorting over.
 
@@ -125,12 +134,17 @@ def _running_counts(scored: DataFrame, by: Sequence[str], ranges: Bucketizer) ->
     # The totals have one row per group and range. Whether that is little enough
     # to broadcast is left to Spark; partitioning both sides by the join's keys
     # is no loss, as the running sums need the histogram that way.
-    joined = in_ranges(histogram(scored, by)).join(starts, [*by, "bucket"])
+    keys = [*by, "bucket"]
+    starts = starts.select(
+        *[F.col(k).alias(f"start_{k}") for k in keys], *[c for c in starts.columns if c not in keys]
+    )
+    # Null is a group like any other.
+    same = [F.col(k).eqNullSafe(F.col(f"start_{k}")) for k in keys]
+    joined = in_ranges(histogram(scored, by)).join(starts, reduce(and_, same))
     return joined.select(
         *by,
         *[F.col(c).cast("double") for c in ("pos", "neg", "all_pos", "all_neg")],
-        "tp",
-        "fp",
+        *COUNTS,
         (F.col("pos_above") + F.sum("pos").over(downwards)).cast("double").alias("pos_so_far"),
         (F.col("neg_above") + F.sum("neg").over(downwards)).cast("double").alias("neg_so_far"),
     )
@@ -163,17 +177,15 @@ def evaluate(
     """Counts, threshold metrics and areas for every group; areas are exact.
 
     Three narrow passes over the scored rows: one to find score ranges to spread
-    the work over, one to total them, one to build the histogram. Rows without
-    a label or a score are left out.
+    the work over, one to total them, one to build the histogram. Rows that
+    ``countable`` refuses are left out here as they are by ``confusion``, and
+    ``left_out`` counts them.
     """
-    known = scored.where("label IS NOT NULL AND score IS NOT NULL")
+    known = scored.where(countable(scored))
     ranges = fit_score_buckets(known, buckets)
     curve = _running_counts(known, by, ranges)
     totals = curve.groupBy(*by).agg(
-        F.sum("tp").alias("tp"),
-        (F.first("all_neg").cast("bigint") - F.sum("fp")).alias("tn"),
-        F.sum("fp").alias("fp"),
-        (F.first("all_pos").cast("bigint") - F.sum("tp")).alias("fn"),
+        *[F.sum(c).alias(c) for c in COUNTS],
         *_areas(),
     )
     return with_metrics(totals, costs)

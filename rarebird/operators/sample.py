@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rarebird.functions.columns import named
 from rarebird.functions.hashing import below_share, key_hash
 
 SAMPLE_SALT = "sample-"
+PREFIX_ROWS = 10_000
 
 
 def hash_sample(
@@ -23,24 +26,30 @@ def hash_sample(
 
 
 def exact_sample(
-    df: DataFrame, keys: Sequence[str], n: int, digits: int = 4, salt: str = SAMPLE_SALT
+    df: DataFrame,
+    keys: Sequence[str],
+    n: int,
+    digits: int | None = None,
+    salt: str = SAMPLE_SALT,
 ) -> DataFrame:
     """Exactly ``n`` rows, those with the smallest key hashes (all if fewer).
 
-    The sample is a plain filter: hash at most that of the n-th row. Finding
-    that hash needs the key columns only. Rows are counted per hash prefix
-    (16**digits groups, evenly filled), which names the prefix the sample ends
-    in, and the rows of that one prefix are ranked. No task ever holds the
-    sample; more digits make the ranked group smaller.
-
-    The keys must identify a row: rows that share a key come in together, and
-    are counted as one hash however many they are.
+    Rows that share a key follow a hash of all their columns, and rows alike in
+    every column are interchangeable. The sample is a filter, the place of its
+    last row, and as many rows alike in that place as there is room for. Finding
+    the place counts rows per prefix of ``digits`` hexadecimal digits and ranks
+    the places of the one prefix the sample ends in; the digits follow from the
+    number of rows, so that a prefix has about ``PREFIX_ROWS``.
     """
     if n <= 0:
         return df.where(F.lit(False))
-    hashed = df.select(key_hash(keys, salt).alias("hash"))
-    prefixed = hashed.withColumn("prefix", F.substring("hash", 1, digits))
-    # At most 16**digits rows, so one partition is enough for the running sum.
+    told = [F.coalesce(F.concat(F.lit("="), named(c).cast("string")), F.lit("-")) for c in df.columns]
+    place = F.concat(F.coalesce(key_hash(keys, salt), F.lit("")), F.md5(F.concat_ws("\x1f", *told)))
+    if digits is None:
+        digits = max(1, ceil(log(max(1, df.count()) / PREFIX_ROWS, 16)))
+    placed = df.select(place.alias("place"))
+    prefixed = placed.withColumn("prefix", F.substring("place", 1, digits))
+    # One row a prefix.
     running = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     last_prefix = (
         prefixed.groupBy("prefix")
@@ -48,18 +57,18 @@ def exact_sample(
         .withColumn("upto", F.sum("held").over(running))
         .where((F.col("upto") >= n) & (F.col("upto") - F.col("held") < n))
         .select("prefix", (F.lit(n) - F.col("upto") + F.col("held")).alias("room"))
-    )
-    by_hash = (
-        W.partitionBy("prefix").orderBy("hash").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    cut = (
-        prefixed.join(F.broadcast(last_prefix), "prefix")  # one row at most
-        .groupBy("prefix", "room", "hash")
+    ).first()
+    if last_prefix is None:
+        return df
+    # The prefix may be a hot key's; its places are told apart by the rows' own hash.
+    by_place = W.orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = (
+        prefixed.where(F.col("prefix") == last_prefix["prefix"])
+        .groupBy("place")
         .agg(F.count(F.lit(1)).alias("held"))
-        .withColumn("upto", F.sum("held").over(by_hash))
-        .where("upto >= room AND upto - held < room")
-        .select("hash")
-    )
-    # Without an n-th row the subquery is null, and every row is taken.
-    last_hash = F.coalesce(cut.scalar(), F.lit("g"))
-    return df.where(key_hash(keys, salt) <= last_hash)
+        .withColumn("upto", F.sum("held").over(by_place))
+        .where(f"upto >= {last_prefix['room']} AND upto - held < {last_prefix['room']}")
+        .select("place", (F.lit(last_prefix["room"]) - F.col("upto") + F.col("held")).alias("room"))
+    ).first()
+    below, alike = df.where(place < last["place"]), df.where(place == last["place"])
+    return below.unionByName(alike.limit(last["room"]))

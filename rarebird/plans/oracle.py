@@ -297,7 +297,7 @@ ORACLE: dict[str, str] = {
     ),
     "complete_rows": with_(
         "SELECT emis_id, year AS key_year FROM company_years "
-        "WHERE order_sd IS NOT NULL AND pending_avg IS NOT NULL"
+        "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ALL_FEATURES)
     ),
     "hash_split": with_("SELECT emis_id, year, split FROM divided"),
     "temporal_split": with_(

@@ -26,7 +26,6 @@ from rarebird.settings import EXPERIMENTS, ForestSettings
 from rarebird.sources import derived, observations, results, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
-SMALL_FOREST = ForestSettings(trees=10, depth=5)
 NAMES = derived.FORMULAS
 REGISTRY: dict[str, Query] = {}
 
@@ -155,8 +154,7 @@ def invalid_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def complete_rows(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = _cleaned(spark, folder)
-    present = [f for f in _features(cleaned) if f not in ("large_max", "near_null_max")]
-    return impute.complete_rows(cleaned, present).select("emis_id", "key_year")
+    return impute.complete_rows(cleaned, _features(cleaned)).select("emis_id", "key_year")
 
 
 # Splits and samples.
@@ -335,7 +333,12 @@ def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     train = split.side(cleaned, "train")
     features = cov.fit_features(train, _features(cleaned))
     weighted = weights.fit_class_weights(train).apply(train)
-    fitted = forest_pipeline(features, False, False, SMALL_FOREST).fit(staging.spread(weighted))
+    dealt = staging.dealt(
+        weighted.withColumn("deal", F.xxhash64(*map(named, features), "main_label")),
+        ForestSettings().partitions,
+        "deal",
+    )
+    fitted = forest_pipeline(features, False, False).fit(dealt)
     return fitted.transform(cleaned).select(
         "emis_id",
         "key_year",
@@ -349,7 +352,7 @@ def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
     prepared, features = prepare(_split(spark, folder))
-    scored, _ = score_all(prepared, len(features), settings=SMALL_FOREST)
+    scored, _ = score_all(prepared, len(features))
     return ev.evaluate(scored)
 
 

@@ -66,8 +66,11 @@ class ForestSettings:
     # Node statistics gathered per pass over the data. This holds the deepest
     # level of all trees at once, so each level costs one pass.
     memory_mb: int = 512
-    # Largest table of reached nodes (4 bytes per row and tree) to keep, cluster-wide.
-    node_id_bytes: int = 64 * 2**30
+    # Whether to remember the node each row has reached: 4 bytes per row and tree.
+    cache_node_ids: bool = True
+    # Partitions of the train rows. Bootstraps are drawn per partition, so the
+    # forest depends on this number, and on nothing else of the cluster.
+    partitions: int = 64
 
 
 @dataclass(frozen=True)

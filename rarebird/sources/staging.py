@@ -6,23 +6,17 @@ lineage, survives the loss of executors, and lets later readers prune columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without the setting falls back to a folder of its own.
-    """
+    """The folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to storage that all executors share")
-    return tempfile.mkdtemp(prefix="rarebird-")
+    return folder.rstrip("/")
 
 
 _written: list[str] = []
@@ -54,11 +48,10 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions for model fits and scoring, which are bound by computing.
+def dealt(df: DataFrame, partitions: int, by: str) -> DataFrame:
+    """The rows dealt by a hash column, in an order that only the rows decide.
 
-    Only a table of fewer than two partitions per core is shuffled; a larger one
-    keeps all cores busy as it is.
+    A fit that draws at random per partition gives the same model wherever and
+    on however many cores it runs. Rows alike in ``by`` should be alike.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(partitions, by).sortWithinPartitions(by)

@@ -169,12 +169,18 @@ def test_groups_are_independent(spark):
         assert together[e, s].n == len(rows)
 
 
-def test_binned_scores_come_close(spark):
-    table = scored(spark, random_rows(4000, 8, ties=False))
-    exact = ev.evaluate(table).first()
-    coarse = ev.evaluate(ev.binned(table, bins=2000)).first()
-    assert coarse.auc_roc == pytest.approx(exact.auc_roc, abs=2e-3)
-    assert ev.binned(table, bins=50).select("score").distinct().count() <= 50
+def test_confusion_and_evaluation_agree_on_nulls(spark):
+    rows = [
+        ("a", 1, 1, 0.9), ("a", 0, 0, 0.1), ("a", 0, None, 0.2), ("a", 1, 1, None), ("a", None, 1, 0.5),
+        (None, 1, 0, 0.4), (None, 0, 1, 0.6),
+    ]
+    table = spark.createDataFrame(
+        [(e, "test", *r) for e, *r in rows], "experiment string, split string, label int, prediction int, score double"
+    )
+    cells = lambda df: {r.experiment: (r.tp, r.tn, r.fp, r.fn) for r in df.collect()}
+    expected = {"a": (1, 1, 0, 0), None: (0, 0, 1, 1)}
+    assert cells(ev.confusion(table)) == cells(ev.evaluate(table)) == expected
+    assert {r.experiment: (r.left_out, r.rows) for r in ev.left_out(table).collect()} == {"a": (3, 5), None: (0, 2)}
 
 
 def test_reports(spark):

@@ -143,13 +143,16 @@ def test_exact_sample_bounds(keyed):
     assert small < set(rows_of(sample.exact_sample(keyed, KEYS, 200)))
 
 
-def test_exact_sample_keeps_rows_of_a_hot_key_together(spark):
-    table = spark.range(9000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id")
-    for n in (1, 500, 3000, 5999):
-        drawn = sample.exact_sample(table, ["k"], n, digits=1)
-        total, hot = drawn.count(), drawn.where("k = -1").count()
-        assert hot in (0, 3000)
-        assert total == n if not hot else n <= total <= n + 3000
+def test_exact_sample_of_hot_keys_and_alike_rows(spark):
+    hot = spark.range(9000).selectExpr("IF(id % 3 = 0, -1, id) AS k", "id")
+    alike = spark.range(9000).selectExpr("IF(id % 3 = 0, null, id % 7) AS k")
+    for table in (hot, alike):
+        for n in (1, 500, 3000, 5999, 9000):
+            drawn = [tuple(r) for r in sample.exact_sample(table, ["k"], n).collect()]
+            assert len(drawn) == n
+            again = [tuple(r) for r in sample.exact_sample(table.repartition(3), ["k"], n).collect()]
+            key = lambda r: tuple((v is None, v or 0) for v in r)
+            assert sorted(drawn, key=key) == sorted(again, key=key)
 
 
 def test_temporal_split(spark):

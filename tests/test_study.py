@@ -88,7 +88,7 @@ def test_prepared_rows_train_a_forest(spark, observations):
     scored, _ = score_all(prepared, len(features), EXPERIMENTS[:1], TINY)
     shared = ev.evaluate(scored)
     train = side(prepared, "train").withColumnRenamed("label", "main_label")
-    model = forest.forest("features", settings=TINY).fit(staging.spread(train))
+    model = forest.forest("features", settings=TINY).fit(staging.dealt(train, 8, "deal"))
     assert model.getNumTrees == TINY.trees
     assert {r.split for r in shared.collect()} == {"train", "test"}
 
@@ -154,11 +154,12 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     assert table.where("side = 1").count() == 5
 
 
-def test_small_tables_are_spread(spark):
-    wide = staging.spread(spark.range(1000).coalesce(1))
-    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, 50)
-    assert staging.spread(many) is many
+def test_dealing_depends_on_the_rows_alone(spark):
+    def dealt(parts):
+        table = spark.range(0, 1000, 1, parts).selectExpr("id", "xxhash64(id) AS deal")
+        return staging.dealt(table, 4, "deal").rdd.glom().collect()
+
+    assert dealt(2) == dealt(4) == dealt(8)
 
 
 def test_command_line(spark, observations, tmp_path, capsys, monkeypatch):
