@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: ``bytes.split()`` cuts UTF-8 at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

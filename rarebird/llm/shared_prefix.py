@@ -28,8 +28,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rarebird.llm.common import free_name, tokenizer_path
 
@@ -38,8 +40,8 @@ MODEL = "piece_bpe_32k.model"
 #: Characters of the texts whose words are walked together, about, and words whose
 #: ids, and pairs of pieces whose verdicts, a worker remembers.
 BLOCK_CHARS = 2_000_000
-REMEMBERED = 400_000
-PAIRS_REMEMBERED = 400_000
+REMEMBERED = 200_000
+PAIRS_REMEMBERED = 300_000
 #: The score of a character that no piece covers, under a unigram model.
 UNKNOWN = -1e6
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -171,10 +173,9 @@ def marked_words(text: str | None) -> list[str]:
     return _MARKED.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def encode_block(texts: list[str | None], path: str = MODEL) -> list[np.ndarray]:
-    """Ids of each text."""
+def encode_blocks(texts: list[str | None], path: str = MODEL) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Start, end and the ids of each text, of blocks of texts in order."""
     pieces, _, known = load(path)
-    out: list[np.ndarray] = []
     start = 0
     while start < len(texts):
         end, chars = start, 0
@@ -186,10 +187,13 @@ def encode_block(texts: list[str | None], path: str = MODEL) -> list[np.ndarray]
             known.clear()
         for word, ids in pieces.walk(sorted(set(chain.from_iterable(found)).difference(known))):
             known[word] = array("i", ids).tobytes()
-        for some in found:
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, some)), dtype=np.int32))
+        yield start, end, [np.frombuffer(b"".join(map(known.__getitem__, some)), dtype=np.int32) for some in found]
         start = end
-    return out
+
+
+def encode_block(texts: list[str | None], path: str = MODEL) -> list[np.ndarray]:
+    """Ids of each text."""
+    return [ids for _, _, some in encode_blocks(texts, path) for ids in some]
 
 
 def decode_block(ids: list, path: str = MODEL) -> list[str]:
@@ -233,9 +237,23 @@ def encoded_documents(
     docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang", "source"), path: str = MODEL
 ) -> DataFrame:
     """Columns ``keep``, n_tokens and token_ids of every row."""
-    ids = free_name(docs, "token_ids")
-    rows = encode(docs.select(*keep, text), text, ids, path)
-    return rows.select(*keep, F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("token_ids"))
+    whole = free_name(docs, "whole_text")
+    rows = docs.select(*keep, F.col(text).cast("string").alias(whole))
+    schema = T.StructType(
+        [docs.schema[c] for c in keep]
+        + [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Ids leave a block at a time: those of a whole batch would take several times its texts.
+        for batch in batches:
+            for start, end, ids in encode_blocks(batch.column(len(keep)).to_pylist(), path):
+                some = batch.slice(start, end - start)
+                made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *made], schema.names)
+        load(path)[2].clear()  # the worker goes on to other work
+
+    return rows.mapInArrow(run, schema)
 
 
 def encoded_report(docs: DataFrame, text: str = "text", id_column: str = "doc_id", path: str = MODEL) -> DataFrame:
@@ -246,16 +264,12 @@ def encoded_report(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, round_trip boolean")
     def report(texts: pd.Series) -> pd.DataFrame:
-        values = texts.tolist()
-        encoded = encode_block(values, path)
-        decoded = decode_block(encoded, path)
-        return pd.DataFrame(
-            {
-                "n_tokens": [len(e) for e in encoded],
-                "ids_sha256": [hashlib.sha256(",".join(map(str, e.tolist())).encode()).hexdigest() for e in encoded],
-                "round_trip": [d == (v or "") for d, v in zip(decoded, values)],
-            }
-        )
+        values, out = texts.tolist(), []
+        for start, end, encoded in encode_blocks(values, path):
+            for value, ids, text in zip(values[start:end], encoded, decode_block(encoded, path)):
+                digest = hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+                out.append((len(ids), digest, text == (value or "")))
+        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col(id_column), report(F.col(text).cast("string")).alias("r"))
     return rows.select(id_column, "r.*")
