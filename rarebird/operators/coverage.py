@@ -36,6 +36,15 @@ def well_covered(
     return coverage(df, features).where(F.col("share") >= min_share)
 
 
+def poorly_covered(
+    df: DataFrame, features: Sequence[str], min_share: float = MIN_COVERAGE
+) -> DataFrame:
+    """The features left out, with the share of rows that lack them."""
+    dropped = coverage(df, features).where(F.col("share") < min_share)
+    missing = (F.col("n") - F.col("non_null")) / F.col("n").cast("double")
+    return dropped.select("feature", "n", "non_null", missing.alias("missing_share"))
+
+
 def fit_features(
     train: DataFrame, features: Sequence[str], min_share: float = MIN_COVERAGE
 ) -> list[str]:

@@ -13,7 +13,7 @@ from rarebird.settings import COUNTRY_NAMES, LABEL_NAMES, SECTOR_NAMES, Roles
 
 
 def row_counts(df: DataFrame) -> DataFrame:
-    """Total, train and test rows of a split table, and its labelled rows."""
+    """Total, train and test rows of a split table."""
     return df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("split") == "train").alias("train"),

@@ -94,6 +94,26 @@ def best_experiment(evaluated: DataFrame, metric: str = "auc_pr", split: str = "
     )
 
 
+def metric_extremes(evaluated: DataFrame) -> DataFrame:
+    """(split, metric, lowest, highest) over the experiments."""
+    return (
+        metrics_long(evaluated)
+        .groupBy("split", "metric")
+        .agg(F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    )
+
+
+def headline(evaluated: DataFrame, plain: str, reduced: str, split: str = "test") -> DataFrame:
+    """One row: the best recall, MCC and PR area, and what PR area reduction costs."""
+    at = F.col("experiment")
+    return evaluated.where(F.col("split") == split).agg(
+        F.max("recall").alias("best_recall"),
+        F.max("mcc").alias("best_mcc"),
+        F.max("auc_pr").alias("best_auc_pr"),
+        (_pick(at == plain, "auc_pr") - _pick(at == reduced, "auc_pr")).alias("pca_drop"),
+    )
+
+
 def result_table(
     evaluated: DataFrame,
     times: dict[str, float],

@@ -228,6 +228,18 @@ def ablation(left: str, right: str) -> str:
     return evaluated(" UNION ALL ".join(row(m) for m in METRIC_NAMES + AREA_NAMES))
 
 
+def experiment_check(rows: str) -> str:
+    """Rows and positives of every experiment and split, all checks met."""
+    return with_(
+        " UNION ALL ".join(
+            f"SELECT '{e.name}' AS experiment, split, count(*) AS n, "
+            "CAST(sum(main_label) AS BIGINT) AS positives, TRUE AS areas_in_range, "
+            f"TRUE AS pca_agrees FROM {rows} GROUP BY split"
+            for e in EXPERIMENTS
+        )
+    )
+
+
 def cells(select: str) -> str:
     """One SELECT per confusion cell, ``{c}`` standing for the cell."""
     return with_(
@@ -356,6 +368,25 @@ ORACLE: dict[str, str] = {
         ),
         MEDIANS,
     ),
+    "feature_medians_check": with_(
+        " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, count({f}) AS n, TRUE AS within "
+            "FROM divided WHERE split = 'train'"
+            for f in KEPT_FEATURES
+        )
+    ),
+    "dropped_features": with_(
+        f"""SELECT feature, n, non_null, {r6("(n - non_null) / CAST(n AS DOUBLE)")} AS missing_share
+            FROM coverage WHERE share < 0.05""",
+        COVERAGE,
+    ),
+    "impute_ml_check": with_(
+        " UNION ALL ".join(
+            f"SELECT emis_id, year AS key_year, '{f}' AS feature, {f} IS NULL AS was_missing, "
+            f"{r6(as_double(f))} AS present_value, TRUE AS filled FROM divided"
+            for f in KEPT_FEATURES
+        )
+    ),
     "impute_exact": with_(
         "SELECT emis_id, key_year, split, CAST(main_label AS DOUBLE) AS main_label, "
         + ", ".join(f"{r6(f)} AS {f}" for f in KEPT_FEATURES)
@@ -397,6 +428,21 @@ ORACLE: dict[str, str] = {
                       FROM entries GROUP BY position)
         SELECT vec_id, position, {r6("(value - mean) / deviation")} AS value
         FROM entries JOIN stats USING (position)""",
+    "pca_check": ENTRIES
+    + f""", varied AS (SELECT position, count(*) AS n, var_samp(value) > 0 AS varies
+                       FROM entries GROUP BY position)
+        SELECT count(*) AS components, max(n) AS n,
+               {r6("CAST(count(*) FILTER (WHERE varies) AS DOUBLE)")} AS variance,
+               TRUE AS explained, TRUE AS orthonormal, TRUE AS descending FROM varied""",
+    "forest_check": with_(
+        """SELECT emis_id, year AS key_year, split, main_label AS label,
+                  TRUE AS score_bounded, TRUE AS class_follows FROM divided"""
+    ),
+    "experiment_check": experiment_check("divided"),
+    "temporal_experiment_check": experiment_check(
+        """(SELECT main_label, CASE WHEN year <= 1997 THEN 'train' ELSE 'test' END AS split
+            FROM company_years)"""
+    ),
     "covariance_pairs": ENTRIES
     + f"""SELECT format('v{{:02d}}', a.position) AS feature_a,
                  format('v{{:02d}}', b.position) AS feature_b,
@@ -440,6 +486,21 @@ ORACLE: dict[str, str] = {
     ),
     "ablation_delta": ablation("s1_mixed", "s2_count"),
     "ablation_delta_pca": ablation("s2_count", "s4_balance"),
+    "ablation_delta_pca_plain": ablation("s1_mixed", "s3_revenue"),
+    "metric_extremes": evaluated(
+        " UNION ALL ".join(
+            f"SELECT split, '{m}' AS metric, {r6(f'min({m})')} AS lowest, "
+            f"{r6(f'max({m})')} AS highest FROM evaluated GROUP BY split"
+            for m in METRIC_NAMES + AREA_NAMES
+        )
+    ),
+    "headline": evaluated(
+        f"""SELECT {r6("max(recall)")} AS best_recall, {r6("max(mcc)")} AS best_mcc,
+                   {r6("max(auc_pr)")} AS best_auc_pr,
+                   {r6("max(auc_pr) FILTER (WHERE experiment = 's2_count') "
+                       "- max(auc_pr) FILTER (WHERE experiment = 's4_balance')")} AS pca_drop
+            FROM evaluated WHERE split = 'test'"""
+    ),
     "confusion_change": cells(
         "SELECT '{c}' AS cell, l.{c} AS \"left\", r.{c} AS \"right\", r.{c} - l.{c} AS change "
         "FROM confusion l, confusion r WHERE l.experiment = 's1_mixed' "

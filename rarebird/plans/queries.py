@@ -8,13 +8,17 @@ compared between engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rarebird.functions.columns import lenient_double, named
+from rarebird.functions.columns import lenient_double, missing_to_null, named
 from rarebird.functions.metrics import METRICS
 from rarebird.operators import coverage as cov
 from rarebird.operators import evaluation as ev
@@ -256,6 +260,23 @@ def feature_medians_approx(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(found.items()), "feature string, median double")
 
 
+@query
+def feature_medians_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Is each approximate median within its error of the middle rank?"""
+    train = split.side(_staged(spark, folder), "train")
+    found = medians.fit_approximate_medians(train, cov.fit_features(train, _features(train)))
+    errors = medians.rank_errors(train, found)
+    # The bound holds on ranks; one rank more for a middle between two values.
+    within = F.col("error") <= 0.001 + 1.0 / F.col("n")
+    return errors.select("feature", "n", within.alias("within"))
+
+
+@query
+def dropped_features(spark: SparkSession, folder: str) -> DataFrame:
+    train = split.side(_cleaned(spark, folder), "train")
+    return rounded(cov.poorly_covered(train, _features(train)))
+
+
 @query
 def impute_exact(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_filled(spark, folder)[0])
@@ -270,6 +291,27 @@ def impute_ml(spark: SparkSession, folder: str) -> DataFrame:
     return imputed.select("emis_id", "key_year", *[f + impute.IMPUTED for f in features])
 
 
+@query
+def impute_ml_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Does the imputer fill what is missing and nothing else?"""
+    cleaned = _staged(spark, folder)
+    train = split.side(cleaned, "train")
+    features = cov.fit_features(train, _features(cleaned))
+    imputed = impute.median_imputer(features).fit(train).transform(cleaned)
+
+    def entry(feature: str):
+        value, after = missing_to_null(named(feature)), F.col(feature + impute.IMPUTED)
+        return F.struct(
+            F.lit(feature).alias("feature"),
+            value.isNull().alias("was_missing"),
+            F.when(value.isNotNull(), after).alias("present_value"),
+            missing_to_null(after).isNotNull().alias("filled"),
+        )
+
+    entries = F.inline(F.array(*map(entry, features)))
+    return rounded(imputed.select("emis_id", "key_year", entries))
+
+
 @query
 def assemble(spark: SparkSession, folder: str) -> DataFrame:
     filled, features = _filled(spark, folder)
@@ -324,6 +366,36 @@ def pca_explained(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.explained_variance(model.stages[-1], table)
 
 
+@query
+def pca_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Do the components keep the scaled variance, uncorrelated and in order?
+
+    All 64 are taken; the axes are checked on the model, the variance on the rows.
+    """
+    table = derived.wide_vectors(spark, folder)
+    pca = vectors.principal_components(64, k=64)
+    model = Pipeline(stages=[vectors.scaler(), pca]).fit(table)
+    axes = model.stages[-1].pc.toArray()
+    shares = model.stages[-1].explainedVariance.toArray()
+    orthonormal = bool(abs(axes.T @ axes - np.eye(64)).max() < 1e-9)
+    entries = vectors.vector_entries(model.transform(table), "components", "vec_id")
+    per_component = entries.groupBy("position").agg(
+        F.var_samp("value").alias("variance"), F.count(F.lit(1)).alias("n")
+    )
+    share = F.array(*[F.lit(float(x)) for x in shares])[F.col("position")]
+    explained = F.abs(F.col("variance") / 64.0 - share) < 1e-6
+    return rounded(
+        per_component.agg(
+            F.count(F.lit(1)).alias("components"),
+            F.max("n").alias("n"),
+            F.sum("variance").alias("variance"),
+            F.bool_and(explained).alias("explained"),
+            F.lit(orthonormal).alias("orthonormal"),
+            F.lit(bool((shares[1:] <= shares[:-1] + 1e-12).all())).alias("descending"),
+        )
+    )
+
+
 # Models.
 
 
@@ -356,6 +428,51 @@ def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
     return ev.evaluate(scored)
 
 
+@query
+def forest_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Is every row scored, between 0 and 1, with the class its score asks for?"""
+    score = F.col("score")
+    follows = (F.col("prediction") == (score > 0.5).cast("int")) | (F.abs(score - 0.5) < 1e-9)
+    return forest_predictions(spark, folder).select(
+        "emis_id",
+        "key_year",
+        "split",
+        "label",
+        score.between(0.0, 1.0).alias("score_bounded"),
+        follows.alias("class_follows"),
+    )
+
+
+def _experiment_check(evaluated: DataFrame) -> DataFrame:
+    """Rows and positives of each group; areas in range; both PCA experiments agree."""
+    counted = ("tp", "tn", "fp", "fn", *ev.AREAS)
+    reduced = F.col("experiment").isin([e.name for e in EXPERIMENTS if e.pca])
+    figures = F.collect_set(F.when(reduced, F.struct(*counted)))
+    in_range = [F.col(a).between(0.0, 1.0 + 1e-9) for a in ev.AREAS]
+    return evaluated.select(
+        "experiment",
+        "split",
+        "n",
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        reduce(and_, in_range).alias("areas_in_range"),
+        (F.size(figures.over(W.partitionBy("split"))) == 1).alias("pca_agrees"),
+    )
+
+
+@query
+def experiment_check(spark: SparkSession, folder: str) -> DataFrame:
+    return _experiment_check(experiment_grid(spark, folder))
+
+
+@query
+def temporal_experiment_check(spark: SparkSession, folder: str) -> DataFrame:
+    """The study trained up to a year and tested after it, with exact medians."""
+    divided = split.temporal_split(_observations(spark, folder), last_train=derived.SPLIT_AT)
+    prepared, features = prepare(divided, medians="exact")
+    scored, _ = score_all(prepared, len(features))
+    return _experiment_check(ev.evaluate(scored))
+
+
 # Metrics.
 
 
@@ -410,6 +527,21 @@ def ablation_delta_pca(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(reports.ablation(_evaluated(spark, folder), NAMES[1], NAMES[3]))
 
 
+@query
+def ablation_delta_pca_plain(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(reports.ablation(_evaluated(spark, folder), NAMES[0], NAMES[2]))
+
+
+@query
+def metric_extremes(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(reports.metric_extremes(_evaluated(spark, folder)))
+
+
+@query
+def headline(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(reports.headline(_evaluated(spark, folder), NAMES[1], NAMES[3]))
+
+
 @query
 def confusion_change(spark: SparkSession, folder: str) -> DataFrame:
     return reports.confusion_change(_confusion(spark, folder), NAMES[0], NAMES[1])

@@ -6,9 +6,9 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from rarebird.functions import long
 from rarebird.operators import coverage, evaluation, medians, split
+from rarebird.plans.queries import REGISTRY
 from rarebird.sources import derived, observations, staging
 
 FOLDER = f"{DATA}/sf0.001"
@@ -18,9 +18,9 @@ def plan(df):
     return re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_products_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(REGISTRY[name](spark, FOLDER))
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas",
                    "InArrow"):
         assert banned not in text, banned

@@ -281,3 +281,20 @@ def test_constant_feature_has_no_covariance(spark):
            for r in vectors.covariance(joined, "features", ["a", "b"]).collect()}
     assert got["a", "b"] == 0.0 and got["b", "b"] == 0.0
     assert got["a", "a"] == pytest.approx(7 / 3)
+
+
+def test_rank_errors(spark):
+    rows = [(float(i), 1.0 if i < 90 else float(i), None) for i in range(101)]
+    table = spark.createDataFrame(rows, "a double, b double, c double")
+    got = medians.rank_errors(table, {"a": 50.0, "b": 1.0, "c": 0.0})
+    errors = {r.feature: (r.n, r.error) for r in got.collect()}
+    assert errors == {"a": (101, 0.0), "b": (101, 0.0)}  # c has no value
+    off = medians.rank_errors(table, {"a": 80.0}).first()
+    assert off.error == pytest.approx(80 / 101 - 0.5)
+
+
+def test_poorly_covered(spark):
+    rows = [(1.0, 1.0 if i == 0 else None, NAN) for i in range(10)]
+    table = spark.createDataFrame(rows, "a double, b double, c double")
+    dropped = cov.poorly_covered(table, ["a", "b", "c"], min_share=0.1).collect()
+    assert [tuple(r) for r in dropped] == [("c", 10, 0, 1.0)]
