@@ -58,11 +58,13 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     if options.output:
         write_results(study.results, options.output)
     evaluated.unpersist()
-    drop_staged(spark)
     print(f"took {time.perf_counter() - began:.1f} s in all")
 
 
 if __name__ == "__main__":
     session = SparkSession.builder.appName("rarebird").getOrCreate()
-    run(session, arguments())
-    session.stop()
+    try:
+        run(session, arguments())
+    finally:
+        drop_staged(session)
+        session.stop()

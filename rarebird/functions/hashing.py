@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from rarebird.functions.columns import named
 
 
+def told(columns: Sequence[str]) -> Column:
+    """The values as one text that differs wherever they do.
+
+    Each value follows its length and a colon; a null is a dash.
+    """
+    parts = [named(c).cast("string") for c in columns]
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
+
+
 def key_hash(keys: Sequence[str], salt: str = "") -> Column:
     """MD5 of the key columns as text, 32 hex digits, uniform over the keys.
 
@@ -18,8 +27,7 @@ def key_hash(keys: Sequence[str], salt: str = "") -> Column:
     """
     if not keys:
         raise ValueError("a key is needed to choose rows reproducibly")
-    parts = [named(k).cast("string") for k in keys]
-    text = F.concat_ws("-", *parts)
+    text = told(keys)
     return F.md5(F.concat(F.lit(salt), text) if salt else text)
 
 

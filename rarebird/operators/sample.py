@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rarebird.functions.columns import named
-from rarebird.functions.hashing import below_share, key_hash
+from rarebird.functions.hashing import below_share, key_hash, told
 
 SAMPLE_SALT = "sample-"
 PREFIX_ROWS = 10_000
@@ -43,8 +42,7 @@ def exact_sample(
     """
     if n <= 0:
         return df.where(F.lit(False))
-    told = [F.coalesce(F.concat(F.lit("="), named(c).cast("string")), F.lit("-")) for c in df.columns]
-    place = F.concat(F.coalesce(key_hash(keys, salt), F.lit("")), F.md5(F.concat_ws("\x1f", *told)))
+    place = F.concat(key_hash(keys, salt), F.md5(told(df.columns)))
     if digits is None:
         digits = max(1, ceil(log(max(1, df.count()) / PREFIX_ROWS, 16)))
     placed = df.select(place.alias("place"))

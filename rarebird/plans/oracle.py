@@ -32,8 +32,7 @@ company_years AS (
   LEFT JOIN yearly b ON b.emis_id = a.emis_id AND b.year = a.year + 1
   WHERE a.year <= 1999),
 divided AS (
-  SELECT *, CASE WHEN substr(md5(concat(CAST(emis_id AS VARCHAR), '-',
-                                        CAST(year AS VARCHAR))), 1, 8) < 'cccccccc'
+  SELECT *, CASE WHEN substr(md5(concat(length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year)), 1, 8) < 'cccccccc'
                  THEN 'train' ELSE 'test' END AS split
   FROM company_years)"""
 
@@ -322,12 +321,11 @@ ORACLE: dict[str, str] = {
     ),
     "hash_sample": with_(
         """SELECT emis_id, year, main_label FROM company_years
-           WHERE substr(md5(concat('sample-', CAST(emis_id AS VARCHAR), '-',
-                                   CAST(year AS VARCHAR))), 1, 8) < '19999999'"""
+           WHERE substr(md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year)), 1, 8) < '19999999'"""
     ),
     "exact_sample": with_(
         """SELECT emis_id, year, main_label FROM company_years
-           ORDER BY md5(concat('sample-', CAST(emis_id AS VARCHAR), '-', CAST(year AS VARCHAR)))
+           ORDER BY md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year))
            LIMIT 500"""
     ),
     "label_distribution": distribution("main_label", LABEL_NAMES),

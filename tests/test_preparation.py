@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rarebird.functions.columns import code_name, lenient_double
+from rarebird.functions.hashing import key_hash
 from rarebird.operators import coverage as cov
 from rarebird.operators import impute, medians, profile, sample, split, standardise, vectors, weights
 from rarebird.settings import COUNTRY_NAMES, SECTOR_NAMES
@@ -117,6 +118,12 @@ def test_split_loses_no_row_with_missing_keys(spark):
     assert split.hash_split(table, KEYS).where("split IS NOT NULL").count() == 3
 
 
+def test_different_keys_are_told_apart(spark):
+    rows = [("1-2", "3"), ("1", "2-3"), (None, "7"), ("7", None), ("-", "7"), ("", "7"), ("1:7", ""), (None, None)]
+    table = spark.createDataFrame(rows, "emis_id string, year string")
+    assert table.select(key_hash(KEYS)).distinct().count() == len(rows)
+
+
 def test_sample_and_split_are_independent(keyed):
     drawn = split.hash_split(sample.hash_sample(keyed, KEYS, 0.1), KEYS)
     counts = {r.split: r["count"] for r in drawn.groupBy("split").count().collect()}
