@@ -48,7 +48,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         roles=roles,
         last_train_year=options.last_train_year,
     )
-    print(f"{len(study.features)} features kept")
+    print(f"{len(study.features)} features kept, {study.components} components, {study.unlabelled} rows without label left out")
     evaluated = study.evaluated.persist()
     reports.experiment_table(evaluated).show(truncate=False)
     names = [e.name for e in EXPERIMENTS]

@@ -40,6 +40,16 @@ def test_study_features(study):
     assert not {"emis_id", "company", "industry", "main_label", "split"} & set(study.features)
 
 
+def test_study_reports_components_unlabelled_rows_and_time(study, observations):
+    assert study.components == len(study.features) < 50 and study.unlabelled == 0
+    assert study.total_seconds > max(study.seconds.values())
+    some = observations.withColumn("main_label", F.when(F.col("n_orders") != 2, F.col("main_label")))
+    missing = observations.where("n_orders = 2").count()
+    again = run_study(some, derived.KEY, experiments=EXPERIMENTS[:1], settings=TINY)
+    assert missing > 0 and again.unlabelled == missing
+    assert again.evaluated.agg(F.sum("n")).first()[0] == observations.count() - missing
+
+
 def test_equal_experiments_share_a_model(study):
     rows = {(r.experiment, r.split): r for r in study.evaluated.collect()}
     for s in ("train", "test"):
