@@ -10,8 +10,12 @@ the same way, so hosts of any size are inferred in parallel and pages are read
 where they lie.
 
 A wrapper says which of its texts are the page's template: constants, and regions
-that are mostly links. Extraction reads a page again along its host's wrapper and
-leaves out those and what its markup names as not the article.
+that are mostly links. A text is constant if it stands at one path on half of the
+host's pages or more, and on three at least; pages alike in text count once. These
+counts are taken of all texts at once, by host, path and text. Extraction reads a
+page again along its host's wrapper and leaves out those and what its markup names
+as not the article. What is left in the elements that markup names as the article
+is the result, or if that is nothing, what is left in the body.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +72,16 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORD = re.compile(r"[A-Za-z]+")
 #: Elements nested deeper are read as if their tags were not there.
 DEEPEST = 60
-#: Pages of a host that must agree before a text counts as its template.
+#: Pages of a host, unlike in text, that must agree before a text counts as its
+#: template, and their share of all such pages.
 TEMPLATE_PAGES = 3
+TEMPLATE_SHARE = 0.5
 #: Share of linked characters from which a region counts as a list of links.
 LINKED = 0.6
 #: Hosts whose wrappers a task holds before it passes them on.
 HOSTS_HELD = 2_000
-#: Items of one element that a wrapper keeps. Pages of a host whose markup differs
-#: more are read by their own markup there; no text is lost.
+#: Items of one element that are aligned one by one. In wider elements the items of
+#: one name are covered by one item, optional and repeated; none is left out.
 WIDEST = 400
 
 
@@ -195,7 +202,7 @@ def align(left: list, right: list, pages: bool = True) -> list:
     while start < min(n, m) and left[start][0] == right[start][0]:
         start += 1
     if (n - start) * (m - start) > WIDEST * WIDEST:
-        return fold([_both(a, b, pages) for a, b in zip(left[:start], right[:start])] + [[*x[:2], True, *x[3:]] for x in left[start:][:WIDEST]])
+        return gathered(left, right, pages)
     longest = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, start - 1, -1):
         row, below = longest[i], longest[i + 1]
@@ -213,7 +220,19 @@ def align(left: list, right: list, pages: bool = True) -> list:
         else:
             out.append([*right[j][:2], True, *right[j][3:]])
             j += 1
-    return fold(out)[:WIDEST]
+    out = fold(out)
+    return out if len(out) <= WIDEST else gathered(out, [], pages)
+
+
+def gathered(left: list, right: list, pages: bool) -> list:
+    """One optional, repeated item for each name, which covers all items of that name on both sides."""
+    sides: list[dict[str, list]] = [{}, {}]
+    for side, items in zip(sides, (left, right)):
+        for x in items:
+            side[x[0]] = _both(side[x[0]], x, False) if x[0] in side else x
+    one, two = sides
+    whole = {k: _both(one[k], two[k], pages) if k in one and k in two else one.get(k) or two[k] for k in {**one, **two}}
+    return [[*x[:2], True, True, *x[4:]] for x in whole.values()]
 
 
 def expression(items: list) -> str:
@@ -234,7 +253,7 @@ def template(items: list) -> dict[str, list]:
     def walk(some: list, path: str) -> None:
         for x in some:
             if x[0] == "#":
-                if x[4] is not None and x[1] >= TEMPLATE_PAGES:
+                if x[4] is not None and x[1] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages):
                     constants.setdefault(path, set()).add(x[4])
                 parts = path.split("/")
                 for k in range(3, len(parts) + 1):
@@ -246,56 +265,117 @@ def template(items: list) -> dict[str, list]:
 
     if pages >= TEMPLATE_PAGES:
         walk(items, "")
-    linked = [p for p, (chars, links) in sums.items() if links >= LINKED * chars]
+    linked = [p for p, (chars, links) in sums.items() if links >= LINKED * chars and _is_block(p)]
     return {"constants": {p: sorted(t) for p, t in constants.items()}, "linked": sorted(linked)}
 
 
+def _is_block(path: str) -> bool:
+    """Whether the path's last element is no part of a running text."""
+    return re.match(r"[^.]*", path.rpartition("/")[2])[0] in BLOCKS
+
+
+def _mark(path: str, text: str) -> int:
+    """A text at a path as a number."""
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def runs(html: str) -> Iterator[tuple[str, bool, list[tuple[str, str, bool]]]]:
+    """The text between two edges of blocks: the block's path, whether in a marked article, and pieces.
+
+    A piece is its own path, its text and whether it is linked. Pieces that are marked
+    as outside the article are left out.
+    """
+    path, block, outs, mains, links = "", "", 0, 0, 0
+    above: list[tuple[str, str, bool, bool]] = []
+    pieces: list[tuple[str, str, bool]] = []
+    for token in tokens(html):
+        if token[0] == "text":
+            if not outs:
+                pieces.append((path, unescape(token[1]), links > 0))
+            continue
+        tag = token[1]
+        if pieces and (tag in BLOCKS or (token[4] if token[0] == "open" else above[-1][3])):
+            yield block, mains > 0, pieces
+            pieces = []
+        if token[0] == "open":
+            _, _, name, outside, main = token
+            above.append((path, block, outside, main))
+            outs += outside
+            mains += main
+            links += tag == "a"
+            if len(above) <= DEEPEST:
+                path = f"{path}/{name}"
+            if tag in BLOCKS:
+                block = path
+        else:
+            path, block, outside, main = above.pop()
+            outs -= outside
+            mains -= main
+            links -= tag == "a"
+    if pieces:
+        yield block, mains > 0, pieces
+
+
+def marks(html: str) -> tuple[int, set[int]]:
+    """A page's text, and each run of text at its block and each block that is mostly links, as numbers.
+
+    What its markup names as not the article does not count.
+    """
+    found: set[int] = set()
+    content: list[str] = []
+    sums: dict[str, list[int]] = {}
+    for block, _, pieces in runs(html):
+        text = " ".join("".join(t for _, t, _ in pieces).split())
+        if text:
+            found.add(_mark(block, text))
+            content.append(text)
+            total = sums.setdefault(block, [0, 0])
+            total[0] += len(text)
+            total[1] += sum(len(" ".join(t.split())) for _, t, linked in pieces if linked)
+    if any(links for _, links in sums.values()):
+        regions: dict[str, list[int]] = {}
+        for at, (chars, links) in sums.items():
+            while at:
+                total = regions.setdefault(at, [0, 0])
+                total[0] += chars
+                total[1] += links
+                at = at.rpartition("/")[0]
+        found.update(_mark(at, "") for at, (chars, links) in regions.items() if links >= LINKED * chars)
+    return _mark("", " ".join(content)), found
+
+
 def main_text(html: str | None, left_out: dict | None = None) -> str:
     """The article of a page.
 
     If the page marks an article, all of its text but what is marked as outside;
-    otherwise the body's text without the host's template.
+    otherwise the body's text without the host's template. A run of text is template
+    as a whole, not by the words between its tags.
     """
     if not html:
         return ""
     constants = {p: set(t) for p, t in (left_out or {}).get("constants", {}).items()}
     linked = set((left_out or {}).get("linked", ()))
+    counted = frozenset((left_out or {}).get("marks", ()))
     article: list[str] = []
     body: list[str] = []
-    path, paths, outs, mains, depth = "", [], 0, 0, 0
-    flags: list[tuple[bool, bool]] = []
-    linked_depth = 0
-    for token in tokens(html):
-        if token[0] == "open":
-            _, tag, name, outside, main = token
-            if tag in BLOCKS:
-                body.append(" ")
-                article.append(" ")
-            depth += 1
-            flags.append((outside, main))
-            outs += outside
-            mains += main
-            paths.append((path, linked_depth))
-            if depth <= DEEPEST:
-                path = f"{path}/{name}"
-                linked_depth += path in linked
-        elif token[0] == "close":
-            depth -= 1
-            outside, main = flags.pop()
-            outs -= outside
-            mains -= main
-            path, linked_depth = paths.pop()
-            if token[1] in BLOCKS:
-                body.append(" ")
-                article.append(" ")
-        elif not outs:
-            text = unescape(token[1])
-            if mains:
-                article.append(text)
-            elif not linked_depth and not ((t := constants.get(path)) and " ".join(text.split()) in t):
-                body.append(text)
-    found = "".join(article).split()
-    return " ".join(found if found else "".join(body).split())
+
+    def listed(at: str) -> bool:
+        while at:
+            if at in linked:
+                return True
+            at = at.rpartition("/")[0]
+        return False
+
+    for block, main, pieces in runs(html):
+        text = " ".join("".join(t for _, t, _ in pieces).split())
+        if not text:
+            continue
+        if not main and ((linked and listed(block)) or (counted and _mark(block, text) in counted)):
+            continue
+        if not main and constants and all(not t.strip() or " ".join(t.split()) in constants.get(p, ()) for p, t, _ in pieces):
+            continue
+        (article if main else body).append(text)
+    return " ".join(article or body)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -331,6 +411,35 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return stage(some.groupBy("host").applyInPandas(merge, schema), "wrappers")
 
 
+def template_marks(pages: DataFrame) -> DataFrame:
+    """host and marks of its constant texts, from rows of host and html.
+
+    Counted are a host's pages that differ in text; a page's own number has the mark null.
+    """
+
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            hosts: list = []
+            of: list = []
+            contents: list = []
+            for host, html in zip(frame["host"], frame["html"]):
+                content, found = marks(html)
+                hosts += [host] * (len(found) + 1)
+                of += [None, *found]
+                contents += [content] * (len(found) + 1)
+            yield pd.DataFrame({"host": hosts, "mark": pd.array(of, "Int64"), "content": contents})
+
+    found = pages.filter("host is not null and host <> '' and html is not null").mapInPandas(
+        marked, "host string, mark long, content long"
+    )
+    counts = found.distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+    counts = stage(counts, "text-counts")
+    totals = counts.filter("mark is null").select(F.col("host").alias("whole"), F.col("n").alias("pages"))
+    constant = counts.filter("mark is not null").join(totals, F.col("host") == F.col("whole"))
+    constant = constant.filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    return constant.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
+
+
 def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id_column: str = "page_id") -> DataFrame:
     """Per row: the id, the url, text and n_chars.
 
@@ -345,12 +454,16 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id_column
         F.col(html).cast("string").alias("html"),
     )
 
-    def decide(wrappers: pd.Series) -> pd.Series:
-        return wrappers.map(lambda w: json.dumps(template(json.loads(w))))
+    def decide(wrappers: pd.Series, counted: pd.Series) -> pd.Series:
+        out = []
+        for wrapper, found in zip(wrappers, counted):
+            known = {} if found is None else {"marks": [int(m) for m in found]}
+            out.append(json.dumps({"linked": template(json.loads(wrapper))["linked"], **known}))
+        return pd.Series(out, dtype=object)
 
-    wrappers = infer_wrappers(rows.select("host", "html")).select(
-        F.col("host").alias("of"), F.pandas_udf(decide, "string")("wrapper").alias("left_out")
-    )
+    counted = template_marks(rows.select("host", "html")).withColumnRenamed("host", "at")
+    wrappers = infer_wrappers(rows.select("host", "html")).join(counted, F.col("host") == F.col("at"), "left")
+    wrappers = wrappers.select(F.col("host").alias("of"), F.pandas_udf(decide, "string")("wrapper", "marks").alias("left_out"))
 
     def read(html: pd.Series, left_out: pd.Series) -> pd.Series:
         seen: dict = {}

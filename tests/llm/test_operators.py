@@ -222,6 +222,22 @@ def test_marked_articles_are_read_whole():
     assert html_wrappers.main_text(deep) == "x" and html_wrappers.stream(deep)
 
 
+def test_copies_and_small_groups_are_no_template(spark):
+    wide = "".join(f"<div class='k{chr(97 + i % 26)}{chr(97 + i // 26)}'>x{{n}}y{i}</div>" for i in range(500))
+    page = lambda n, more="": f"<html><body><p>Text {n}</p>{more}{wide.replace('{n}', str(n))}<div>Bye</div></body></html>"
+    rows = [("copies", "<html><body><p>Same</p></body></html>")] * 5
+    rows += [("group", f"<html><body><p>Text {n}</p>{'<h3>Rare</h3>' if n < 3 else ''}<div>Bye</div></body></html>") for n in range(20)]
+    rows += [("wide", page(n)) for n in range(4)]
+    pages = spark.createDataFrame([(i, f"http://{h}.org/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    got = [r.text for r in html_wrappers.main_texts(pages).orderBy("page_id").collect()]
+    assert got[:5] == ["Same"] * 5
+    assert got[5:25] == [f"Text {n}{' Rare' if n < 3 else ''}" for n in range(20)]
+    assert [t.split()[-1] for t in got[25:]] == [f"x{n}y499" for n in range(4)]
+    many = [[f"a.{i}", 1, False, False, []] for i in range(1000)]
+    other = [[f"b.{i}", 1, False, False, []] for i in range(1000)]
+    assert {x[0] for x in html_wrappers.align(many, other)} == {x[0] for x in many + other}
+
+
 # Classifier.
 
 
