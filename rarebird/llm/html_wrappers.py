@@ -347,9 +347,10 @@ def marks(html: str) -> tuple[int, set[int]]:
 def main_text(html: str | None, left_out: dict | None = None) -> str:
     """The article of a page.
 
-    If the page marks an article, all of its text but what is marked as outside;
-    otherwise the body's text without the host's template. A run of text is template
-    as a whole, not by the words between its tags.
+    The text without what is marked as outside and without the host's template: that
+    of the article the page marks, or if there is none, the body's. A run of text is
+    template as a whole, not by the words between its tags. In a marked article lists
+    of links count as template only if the host's pages have them like a constant.
     """
     if not html:
         return ""
@@ -359,20 +360,18 @@ def main_text(html: str | None, left_out: dict | None = None) -> str:
     article: list[str] = []
     body: list[str] = []
 
-    def listed(at: str) -> bool:
+    def listed(at: str, main: bool) -> bool:
         while at:
-            if at in linked:
+            if at in linked and (not main or _mark(at, "") in counted):
                 return True
             at = at.rpartition("/")[0]
         return False
 
     for block, main, pieces in runs(html):
         text = " ".join("".join(t for _, t, _ in pieces).split())
-        if not text:
+        if not text or (linked and listed(block, main)) or (counted and _mark(block, text) in counted):
             continue
-        if not main and ((linked and listed(block)) or (counted and _mark(block, text) in counted)):
-            continue
-        if not main and constants and all(not t.strip() or " ".join(t.split()) in constants.get(p, ()) for p, t, _ in pieces):
+        if constants and all(not t.strip() or " ".join(t.split()) in constants.get(p, ()) for p, t, _ in pieces):
             continue
         (article if main else body).append(text)
     return " ".join(article or body)

@@ -238,6 +238,18 @@ def test_copies_and_small_groups_are_no_template(spark):
     assert {x[0] for x in html_wrappers.align(many, other)} == {x[0] for x in many + other}
 
 
+def test_template_inside_articles_is_left_out(spark):
+    page = (
+        "<body><article><h1>T{n}</h1><p>Text <a href=/x>link{n}</a> {n}</p><ul><li><a href=/r>more{n}</a></ul>"
+        "<div class=zone>Try our plan</div></article><p>Bye {n}</p></body>"
+    )
+    rows = [(n, f"http://a.org/{n}", page.replace("{n}", str(n))) for n in range(6)]
+    rows += [(6, "http://b.org", page.replace("{n}", "6")), (7, "http://a.org/7", "<body><article><div class=zone>Try our plan</div></article><p>Left</p></body>")]
+    got = {r.page_id: r.text for r in html_wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[n] for n in range(6)] == [f"T{n} Text link{n} {n}" for n in range(6)]
+    assert got[6] == "T6 Text link6 6 more6 Try our plan" and got[7] == "Left"
+
+
 # Classifier.
 
 
