@@ -18,6 +18,12 @@ rare words goes to both parts, and is scored by the one that has what it needs.
 N-grams travel packed, as arrays of each block of rows: hot words as two bytes,
 documents as places in the block. Sums go back packed the same way and are added a
 block at a time.
+
+``ngram_scores`` does the same at any order, by tables: the n-grams of each order are
+counted by groupBy on their hash, after each block has counted its own; each count
+table is joined to the next shorter order's scores and to the counts of its contexts;
+and the n-grams of each document are joined to the scores. The few n-grams that make up
+more than a ten-thousandth of the corpus are scored where they are read.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ TOP = 1_024
 #: Words of a packed block, and pairs that one part holds, about.
 BLOCK_WORDS = 500_000
 PART_PAIRS = 2_500_000
+#: At most so many n-grams are scored where they are read: those with a larger share.
+OFTEN = 10_000
 _START = HOT
 
 
@@ -272,6 +280,23 @@ def add_block(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, "micro": micro, "back": back})
 
 
+def _per_row(named: DataFrame, sums: DataFrame, id_column: str) -> DataFrame:
+    """The result's rows from the sums per key."""
+    # Rows alike in id and text have one key; their sums hold every copy.
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    sizes = named.select("id", "key", size.alias("n_words"))
+    copies = sizes.groupBy(F.col("key").alias("same")).agg(F.count("*").alias("copies"))
+    share = lambda column: F.coalesce((F.col(column) / F.col("copies")).cast("long"), F.lit(0).cast("long"))
+    return (
+        sizes.join(copies, F.col("key") == F.col("same"))
+        .join(sums, F.col("key") == F.col("of"), "left")
+        .select(
+            F.col("id").alias(id_column), "n_words", share("back").alias("n_backed_off"), share("micro").alias("log_score_micro")
+        )
+        .withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score_micro") / F.col("n_words") / 1e6))
+    )
+
+
 def backoff_scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row: the id, n_words, n_backed_off, log_score_micro and mean_log_score.
 
@@ -303,19 +328,108 @@ def backoff_scores(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         .agg(F.sum("micro").alias("micro"), F.sum("back").alias("back"))
         .withColumnRenamed("key", "of")
     )
-    # Rows alike in id and text have one key; their sums hold every copy.
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sizes = named.select("id", "key", size.alias("n_words"))
-    copies = sizes.groupBy(F.col("key").alias("same")).agg(F.count("*").alias("copies"))
-    share = lambda column: F.coalesce((F.col(column) / F.col("copies")).cast("long"), F.lit(0).cast("long"))
-    return (
-        sizes.join(copies, F.col("key") == F.col("same"))
-        .join(sums, F.col("key") == F.col("of"), "left")
-        .select(
-            F.col("id").alias(id_column), "n_words", share("back").alias("n_backed_off"), share("micro").alias("log_score_micro")
-        )
-        .withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score_micro") / F.col("n_words") / 1e6))
-    )
+    return _per_row(named, sums, id_column)
+
+
+def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order: where n-grams end, their hashes and those of their contexts."""
+    place = np.arange(len(h)) - np.searchsorted(doc, doc)
+    gram = mixed(h)
+    out = [(np.arange(len(h)), gram, np.zeros(len(h), np.uint64))]
+    for k in range(2, order + 1):
+        context = np.append(gram[:1], gram[:-1])
+        gram = mixed(mixed(context + np.uint64(k)) * np.uint64(3) + h)
+        at = np.flatnonzero(place >= k - 1)
+        out.append((at, gram[at], context[at]))
+    return out
+
+
+def count_grams(rows: DataFrame, order: int) -> DataFrame:
+    """k, gram, context, shorter (without its first word), n and longest (times it has all the context) of all n-grams; staged."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, h, doc in _blocks(frames):
+            grams = _grams(h, doc, order)
+            shorter = np.zeros(len(h), np.uint64)
+            place = np.arange(len(h)) - np.searchsorted(doc, doc)
+            for k, (at, gram, context) in enumerate(grams, 1):
+                found, first, of, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+                longest = n if k == order else np.bincount(of[place[at] == k - 1], minlength=len(found))
+                yield pd.DataFrame(
+                    {
+                        "k": k,
+                        "gram": found.view(np.int64),
+                        "context": context[first].view(np.int64),
+                        "shorter": shorter[at][first].view(np.int64),
+                        "n": n,
+                        "longest": longest,
+                    }
+                )
+                shorter[at] = gram
+
+    counted = rows.mapInPandas(count, "k int, gram long, context long, shorter long, n long, longest long")
+    # All rows of a gram have one context and one shorter gram.
+    table = counted.groupBy("k", "gram", "context", "shorter").agg(F.sum("n").alias("n"), F.sum("longest").alias("longest"))
+    return stage(table, "gram-counts", "k")
+
+
+def gram_scores(table: DataFrame, order: int) -> DataFrame:
+    """gram, micro, back and n of the n-grams that words are scored by."""
+    total = table.filter("k = 1").agg(F.sum("n")).first()[0] or 0
+    below = None
+    for k in range(1, order + 1):
+        own = table.filter(F.col("k") == k)
+        if below is None:
+            scored = own.withColumn("share", F.col("n") / F.lit(total)).withColumn("back", F.lit(0))
+        else:
+            begun = own.groupBy("context").agg(F.sum("n").alias("begun")).withColumnRenamed("context", "of")
+            seen = own.filter(F.col("n") >= LEAST).join(begun, F.col("context") == F.col("of"))
+            seen = seen.withColumn("share", F.col("n") / F.col("begun")).withColumn("back", F.lit(0)).drop("of", "begun")
+            lower = below.select(F.col("gram").alias("of"), F.col("share").alias("lower"))
+            rest = own.filter(F.col("n") < LEAST).join(lower, F.col("shorter") == F.col("of"))
+            rest = rest.withColumn("share", ALPHA * F.col("lower")).withColumn("back", F.lit(1)).drop("of", "lower")
+            scored = seen.unionByName(rest)
+        below = stage(scored.select("gram", "share", "back", "n", "longest"), f"gram-scores-{k}")
+        used = below.filter("longest > 0")
+        scores = used if k == 1 else scores.unionByName(used)
+    return scores.select("gram", F.rint(F.log("share") * 1e6).cast("long").alias("micro"), "back", F.col("longest").alias("n"))
+
+
+def ngram_scores(docs: DataFrame, order: int = 3, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """What ``backoff_scores`` gives, with up to ``order`` - 1 words before a word as its context.
+
+    A word backs off if the n-gram with all of that context is too rare; it then has
+    ``ALPHA`` times its score under a context shorter by a word, and so on.
+    """
+    named = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+    named = named.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
+    rows = named.filter("text is not null").select("key", "text")
+    scores = gram_scores(count_grams(rows, order), order)
+    total = scores.agg(F.sum("n")).first()[0] or 0
+    often = scores.filter(F.col("n") > total / OFTEN).toPandas().sort_values("gram")
+    sent = docs.sparkSession.sparkContext.broadcast([often[c].to_numpy(np.int64) for c in ("gram", "micro", "back")])
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, hot_micro, hot_back = sent.value
+        for keys, h, doc in _blocks(frames):
+            gram = np.zeros(len(h), np.uint64)
+            for at, some, _ in _grams(h, doc, order):
+                gram[at] = some
+            gram = gram.view(np.int64)
+            at = np.minimum(np.searchsorted(hot, gram), max(0, len(hot) - 1))
+            known = hot[at] == gram if len(hot) else np.zeros(len(h), bool)
+            done = _sums(doc[known], len(keys), hot_micro[at[known]], hot_back[at[known]]).astype(np.int64)
+            # n = 0: what is known of a document; its gram only deals the row out.
+            yield pd.DataFrame({"key": keys, "at": keys, "n": 0, "known": done[0], "known_back": done[1]})
+            by = pd.DataFrame({"doc": doc[~known], "at": gram[~known]}).groupby(["doc", "at"], sort=False).size().reset_index(name="n")
+            yield pd.DataFrame({"key": keys[by["doc"]], "at": by["at"], "n": by["n"], "known": 0, "known_back": 0})
+
+    spread_rows = rows.mapInPandas(spread, "key long, at long, n int, known long, known_back long")
+    cold = scores.filter(F.col("n") <= total / OFTEN).select("gram", "micro", "back")
+    joined = spread_rows.join(cold, (F.col("at") == F.col("gram")) & (F.col("n") > 0), "left")
+    share = lambda column, known: F.sum(F.coalesce(F.col(column) * F.col("n"), F.lit(0)) + F.col(known)).alias(column)
+    sums = joined.groupBy("key").agg(share("micro", "known"), share("back", "known_back")).withColumnRenamed("key", "of")
+    return _per_row(named, sums, id_column)
 
 
 #: What ``backoff_scores`` gives for the table documents, for DuckDB.
@@ -345,3 +459,39 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(back, 0) AS n_backed
   CASE WHEN len(ws) > 0 THEN micro / len(ws)::DOUBLE / 1e6::DOUBLE END AS mean_log_score
 FROM rows LEFT JOIN sums USING (r)
 """
+
+#: What ``ngram_scores`` gives for the table documents at order 3, for DuckDB.
+ORACLE_OF_THREE = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents
+), positions AS (
+  SELECT r, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM rows)
+), one AS (SELECT w, count(*) AS n FROM positions GROUP BY w
+), begun AS (SELECT v, count(*) AS n FROM positions WHERE v IS NOT NULL GROUP BY v
+), two AS (SELECT v, w, count(*) AS n FROM positions WHERE v IS NOT NULL GROUP BY v, w
+), begun_two AS (SELECT u, v, count(*) AS n FROM positions WHERE u IS NOT NULL GROUP BY u, v
+), three AS (SELECT u, v, w, count(*) AS n FROM positions WHERE u IS NOT NULL GROUP BY u, v, w
+), total AS (SELECT count(*) AS n FROM positions
+), under_pair AS (
+  SELECT p.r, p.u IS NOT NULL AS has_u, three.n AS n3, begun_two.n AS b2, p.v IS NOT NULL AND two.n < 2 AS back,
+    CASE WHEN p.v IS NULL THEN one.n / total.n
+      WHEN two.n >= 2 THEN two.n / begun.n
+      ELSE 0.4::DOUBLE * (one.n / total.n) END AS share
+  FROM positions p CROSS JOIN total JOIN one ON p.w = one.w
+    LEFT JOIN two ON p.v = two.v AND p.w = two.w LEFT JOIN begun ON p.v = begun.v
+    LEFT JOIN three ON p.u = three.u AND p.v = three.v AND p.w = three.w
+    LEFT JOIN begun_two ON p.u = begun_two.u AND p.v = begun_two.v
+), scored AS (
+  SELECT r, CASE WHEN has_u THEN n3 < 2 ELSE back END AS back,
+    CAST(round(ln(CASE WHEN NOT has_u THEN share WHEN n3 >= 2 THEN n3 / b2 ELSE 0.4::DOUBLE * share END) * 1e6) AS BIGINT) AS micro
+  FROM under_pair
+), sums AS (
+  SELECT r, CAST(sum(micro) AS BIGINT) AS micro, CAST(sum(CAST(back AS INT)) AS BIGINT) AS back FROM scored GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(back, 0) AS n_backed_off,
+  coalesce(micro, 0) AS log_score_micro,
+  CASE WHEN len(ws) > 0 THEN micro / len(ws)::DOUBLE / 1e6::DOUBLE END AS mean_log_score
+FROM rows LEFT JOIN sums USING (r)
+"""

@@ -22,6 +22,11 @@ def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_backoff_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely is each document under the triples of words of all documents?"""
+    return backoff_scores.ngram_scores(table(spark, sf_dir, "documents"), order=3)
+
+
 def op3_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which ten vectors have the largest inner product with every hundredth?"""
     vectors = table(spark, sf_dir, "embeddings")
@@ -76,6 +81,7 @@ REGISTRY: dict[str, Query] = {
     for q in (
         op1_quality_rules,
         op2_backoff_scores,
+        op2_backoff_scores_order3,
         op3_bit_sliced_topk,
         op4_html_extraction,
         op5_quality_classifier,
@@ -90,6 +96,7 @@ REGISTRY: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "op2_backoff_scores": backoff_scores.ORACLE,
+    "op2_backoff_scores_order3": backoff_scores.ORACLE_OF_THREE,
     "op3_bit_sliced_topk": bit_sliced.ORACLE,
     "op6_curriculum_mix": curriculum.ORACLE,
 }

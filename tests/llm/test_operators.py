@@ -180,6 +180,30 @@ def test_backoff_scores_against_brute_force(spark, monkeypatch):
         assert got == {k: score(ws) for k, ws in enumerate(words) if ws}
 
 
+@pytest.mark.parametrize("often", [1, 10, 10_000])
+def test_scores_of_any_order_against_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(backoff_scores, "OFTEN", often)
+    texts = random_texts(60, 7, [f"w{int(random.Random(i).paretovariate(0.9))}" for i in range(400)]) + ["", "w1", "w1 w1", "w1 w1 w2"]
+    texts += texts[:20]
+    words = [t.split() for t in texts]
+    counts = Counter(tuple(ws[i : i + k]) for ws in words for k in (1, 2, 3, 4) for i in range(len(ws) - k + 1))
+    begun = Counter(g[:-1] for g, n in counts.items() for _ in range(n))
+
+    def share(g):
+        if len(g) == 1:
+            return counts[g] / begun[()], 0
+        return (counts[g] / begun[g[:-1]], 0) if counts[g] >= 2 else (0.4 * share(g[1:])[0], 1)
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for order in (2, 3, 4):
+        got = {r.doc_id: r for r in backoff_scores.ngram_scores(docs, order).collect()}
+        assert len(got) == len(texts)
+        for i, ws in enumerate(words):
+            found = [share(tuple(ws[max(0, k - order + 1) : k + 1])) for k in range(len(ws))]
+            assert got[i].n_backed_off == sum(b for _, b in found) and got[i].n_words == len(ws)
+            assert got[i].log_score_micro == sum(round(np.log(s) * 1e6) for s, _ in found)
+
+
 # Bit-sliced search.
 
 
