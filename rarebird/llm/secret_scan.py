@@ -31,13 +31,20 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18, False),
     ("hex", r"[0-9a-f]+", 0, 16, False),
 )
+# A private key goes on to its END line; without one, over its headers and runs of base64.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s*\n(?:Proc-Type|DEK-Info):[^\n]*)*"
+    r"(?:(?:(?:\s|\\[rn])+[A-Za-z0-9+/=]{16,})+(?:(?:\s|\\[rn])+[A-Za-z0-9+/=]+(?=\s*(?:\n|\Z)))?)?)"
+)
 # Further kinds: published shapes of keys and tokens.
 MORE_RULES = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, False),
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 1, False),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}", 0, 1, False),
+    ("private_key", PRIVATE_KEY, 0, 1, False),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1, False),
-    ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,250}", 0, 1, False),
+    ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1, False),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False),
 )
 # End of the fixed values.

@@ -363,6 +363,26 @@ def test_trigram_queries_hold_for_every_match():
         assert (secret_scan.trigram_query(pattern) is True) == (kind == "hex")
 
 
+def test_long_secrets_are_masked_whole(spark):
+    line, begin = "MIIEpAIBAAKCAQEA7+/b" * 3, "-----BEGIN RSA PRIVATE KEY-----"
+    end = begin.replace("BEGIN", "END")
+    texts = {
+        f"a {begin}\n{line}\n{line}\nab==\n{end} z": "a [SECRET] z",
+        f"a {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES,0f\n\n{line}\n{end}\nz": "a [SECRET]\nz",
+        f'k="{begin}\\n{line}\\n{end}\\n"': 'k="[SECRET]\\n"',
+        f"a {begin}\n{line}\n{line}\nab==\n\nThe text goes on.": "a [SECRET]\n\nThe text goes on.",
+        f"{begin}\n{line}\nab==\nSome text\n{begin}\n{line}\n{end}\nz": "[SECRET]\nSome text\n[SECRET]\nz",
+        f"a {begin}\nThe text goes on.": "a [SECRET]\nThe text goes on.",
+        f"a {begin}\nHello\nyou": "a [SECRET]\nHello\nyou",
+        "x ghp_" + "Zy" * 300 + " y": "x [SECRET] y",
+        "x xoxb-" + "Zy-" * 300 + " y": "x [SECRET] y",
+        "x sk_live_" + "Zy" * 300 + " y": "x [SECRET] y",
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_scan.mask(table).orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+
+
 # SentencePiece.
 
 
