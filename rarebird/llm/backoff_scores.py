@@ -118,6 +118,11 @@ def count_words(rows: DataFrame) -> DataFrame:
     return stage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("begun").alias("begun")), "word-counts")
 
 
+def _by_id(counts: pd.Series) -> np.ndarray:
+    """Counts by hot word's id; 0 for ids no word has, such as that of a text's start."""
+    return np.pad(counts.to_numpy(np.int64), (0, HOT + 1 - len(counts)))
+
+
 def hot_counts(rows: DataFrame, table: DataFrame) -> Counts:
     """Counts that every task needs: those of the hot words, and of pairs of top words."""
     total = table.agg(F.sum("n")).first()[0] or 0
@@ -127,8 +132,8 @@ def hot_counts(rows: DataFrame, table: DataFrame) -> Counts:
     counts = Counts(
         h[order],
         order,
-        np.append(hot["n"].to_numpy(np.int64), 0),
-        np.append(hot["begun"].to_numpy(np.int64), 0),
+        _by_id(hot["n"]),
+        _by_id(hot["begun"]),
         np.zeros(0, np.int64),
         int(total),
     )

@@ -57,32 +57,81 @@ def random_texts(n, seed, words="la le un de mot été Haus ### !! x1 y2".split(
 
 
 def outputs(docs, labels):
-    return [
-        quality_rules.quality_verdicts(docs, labels),
-        quality_rules.keep_good(docs, labels),
-        backoff_scores.backoff_scores(docs),
-        quality_classifier.quality_scores(docs, labels),
-        curriculum.mix(docs),
-        curriculum.mixed_documents(docs),
-        token_counts.token_counts(docs),
-        secret_scan.secret_report(docs),
-        secret_scan.masked_documents(docs),
-        shared_prefix.encoded_report(docs),
-        shared_prefix.encoded_documents(docs),
-        dart_minhash.near_duplicates(docs),
-        dart_minhash.one_of_each(docs),
-    ]
+    """Results by name, collected: a mere count would leave most columns uncomputed."""
+    found = {
+        "verdicts": quality_rules.quality_verdicts(docs, labels),
+        "good": quality_rules.keep_good(docs, labels),
+        "scores": backoff_scores.backoff_scores(docs),
+        "scores3": backoff_scores.ngram_scores(docs, order=3),
+        "quality": quality_classifier.quality_scores(docs, labels),
+        "mix": curriculum.mix(docs),
+        "mixed": curriculum.mixed_documents(docs),
+        "tokens": token_counts.token_counts(docs),
+        "secrets": secret_scan.secret_report(docs),
+        "masked": secret_scan.masked_documents(docs),
+        "report": shared_prefix.encoded_report(docs),
+        "encoded": shared_prefix.encoded_documents(docs),
+        "classes": dart_minhash.near_duplicates(docs),
+        "single": dart_minhash.one_of_each(docs),
+    }
+    return {name: df.collect() for name, df in found.items()}
 
 
 def test_awkward_rows_have_results(docs, no_labels):
-    counts = [df.count() for df in outputs(docs, no_labels)]
-    n = len(AWKWARD)
-    mixed, kept = counts[5], counts[1]
-    assert counts == [n, kept, n, n, n, mixed, n, n, n, n, n, n, 7]
+    got = outputs(docs, no_labels)
+    ids = sorted(str(r[0]) for r in AWKWARD)
+    every = ("verdicts", "scores", "scores3", "quality", "mix", "tokens", "secrets", "masked", "report", "encoded", "classes")
+    for name in every:
+        assert sorted(str(r.doc_id) for r in got[name]) == ids, name
+        one, again = (r for r in got[name] if r.doc_id == 1)
+        if name != "mix":  # the second row lies behind the first
+            assert one == again, name
+    words = {1: 8, 2: 0, None: 8, 3: 0, 4: 0, 5: 120_000, 6: 3}
+    texts = {r[0]: r[1] for r in AWKWARD}
+    for name, column in [("verdicts", "n_words"), ("scores", "n_words"), ("scores3", "n_words"), ("mix", "size")]:
+        assert {r.doc_id: r[column] for r in got[name]} == words, name
+    for order, name in [(2, "scores"), (3, "scores3")]:
+        want = brute_scores([r[1] for r in AWKWARD], order)
+        for (doc_id, *_), (micro, back) in zip(AWKWARD, want):
+            row = next(r for r in got[name] if r.doc_id == doc_id)
+            assert (row.n_backed_off, row.log_score_micro) == (back, micro), (name, doc_id)
+            assert (row.mean_log_score is None) == (words[doc_id] == 0)
+    # Without labels nothing is learned: the base rules alone decide, and every score is the same.
+    assert {r.doc_id for r in got["verdicts"] if not r.base_failed} == {r.doc_id for r in got["verdicts"] if r.kept} == {r.doc_id for r in got["good"]}
+    assert len({r.score for r in got["quality"]}) == 1
+    assert {r.doc_id: r.taken for r in got["mix"] if r.doc_id in (2, 3, 4)} == {2: 0, 3: 0, 4: 0}
+    taken = sum(r.copies for r in got["mix"])
+    # Rows alike in all columns are one row of the mixed table for each place.
+    assert len(got["mixed"]) == taken and all(r.text == texts[r.doc_id] for r in got["mixed"])
+    assert {r.doc_id: r.n_bytes for r in got["tokens"]} == {k: len((t or "").encode()) for k, t in texts.items()}
+    assert all((r.n_tokens == 0) == (not texts[r.doc_id]) for r in got["tokens"])
+    assert all(r.spans == "" and r.n_assign == r.n_access == r.n_hex == 0 for r in got["secrets"])
+    assert {r.doc_id: r.text for r in got["masked"]} == texts
+    assert all(len(r.token_ids) == r.n_tokens for r in got["encoded"])
+    kinds = {r.doc_id: r.class_id for r in got["classes"]}
+    assert kinds[1] == 1 and len({kinds[k] for k in (1, 5, 6)}) == 3
+    assert {r.doc_id for r in got["single"]} >= {1, 5, 6}
+
+
+def brute_scores(texts, order):
+    """(log_score_micro, n_backed_off) of each text by counting all n-grams."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    counts = Counter(tuple(ws[i : i + k]) for ws in words for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    begun = Counter()
+    for g, n in counts.items():
+        begun[g[:-1]] += n
+
+    def share(g):
+        if len(g) == 1:
+            return counts[g] / begun[()], 0
+        return (counts[g] / begun[g[:-1]], 0) if counts[g] >= 2 else (0.4 * share(g[1:])[0], 1)
+
+    found = [[share(tuple(ws[max(0, k - order + 1) : k + 1])) for k in range(len(ws))] for ws in words]
+    return [(sum(round(np.log(s) * 1e6) for s, _ in f), sum(b for _, b in f)) for f in found]
 
 
 def test_empty_tables_have_empty_results(empty, no_labels):
-    assert all(df.count() == 0 for df in outputs(empty, no_labels))
+    assert not any(outputs(empty, no_labels).values())
 
 
 def test_other_tables_may_be_empty_or_awkward(spark):
