@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rarebird.llm import backoff_scores, bit_sliced, curriculum, dart_minhash, html_wrappers, quality_classifier, quality_rules, secret_scan, shared_prefix, token_counts
+from rarebird.llm import (
+    backoff_scores,
+    bit_sliced,
+    conversation_trie,
+    curriculum,
+    dart_minhash,
+    html_wrappers,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    shared_prefix,
+    spelling_variants,
+    token_counts,
+)
 from rarebird.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +83,21 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which beginnings do the rebuilt conversations share?"""
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"), splice=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of all documents are spelling variants of which?"""
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shard, and which place in it, does each document get?"""
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the corpus that training gets, encoded, in training order."""
     import corpus_pipeline
@@ -90,6 +119,9 @@ REGISTRY: dict[str, Query] = {
         op8_secret_scan,
         op9_sentencepiece,
         op10_dart_minhash,
+        op11_conversation_trie,
+        op12_spelling_variants,
+        op13_stratified_shards,
         pipeline,
     )
 }
@@ -99,4 +131,7 @@ ORACLE: dict[str, str] = {
     "op2_backoff_scores_order3": backoff_scores.ORACLE_OF_THREE,
     "op3_bit_sliced_topk": bit_sliced.ORACLE,
     "op6_curriculum_mix": curriculum.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
+    "op13_stratified_shards": sharding.ORACLE,
 }
