@@ -8,22 +8,23 @@ score, the histogram; every metric is an expression over that.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from math import ceil
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rarebird.functions.columns import ratio
 from rarebird.functions.metrics import confusion_metrics
+from rarebird.operators.prefix_sums import alike, sums_before
 from rarebird.settings import Costs
+from rarebird.sources.staging import stage
 
 BY = ("experiment", "split")
 AREAS = ("auc_roc", "auc_pr", "average_precision")
 COUNTS = ("tp", "tn", "fp", "fn")
-BUCKETS = 1000
+#: Scored rows of a score range, at most about.
+RANGE_ROWS = 50_000
 
 
 def countable(scored: DataFrame) -> Column:
@@ -78,75 +79,44 @@ def histogram(scored: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     )
 
 
-def fit_score_buckets(scored: DataFrame, buckets: int = BUCKETS) -> Bucketizer:
-    """Score ranges with about equally many rows, to spread the sorting over.
+def score_ranges(scored: DataFrame, by: Sequence[str] = BY, ranges: int | None = None) -> tuple[DataFrame, int]:
+    """The histogram with ``range``, numbered from the top score of each group down; staged. And the number of ranges.
 
-    Where the borders lie has no effect on any result.
+    Ranges hold about ``RANGE_ROWS`` rows by Spark's own range partitioning; their
+    number follows from the rows of ``scored``. Where their borders lie has no
+    effect on any result.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    borders = scored.approxQuantile("score", steps, 0.5 / buckets) if steps else []
-    inner = sorted({b for b in borders if abs(b) != float("inf")})
-    return Bucketizer(
-        splits=[float("-inf"), *(inner or [0.0]), float("inf")],
-        inputCol="score",
-        outputCol="bucket",
-        handleInvalid="keep",  # NaN ranks above all numbers, as it does in a sort
-    )
+    if ranges is None:
+        ranges = max(1, ceil(scored.count() / RANGE_ROWS))
+    counted = histogram(scored.where(countable(scored)), by)
+    # NaN ranks above all numbers, as it does in a sort.
+    dealt = counted.repartitionByRange(ranges, *by, F.desc("score"))
+    return stage(dealt.withColumn("range", F.spark_partition_id()), "score-ranges"), ranges
 
 
-def _running_counts(scored: DataFrame, by: Sequence[str], ranges: Bucketizer) -> DataFrame:
+def _running_counts(scored: DataFrame, by: Sequence[str], ranges: int | None) -> DataFrame:
     """Histogram with TP and FP as if all scores from the top down were predicted.
 
     A running sum over all scores of a group would sort them in one task. Here
-    each score range is summed by itself, starting from the totals of the
-    ranges above it. Those totals are counted straight from the scored rows: a
-    second narrow scan costs less than moving the histogram twice.
+    each score range is summed by itself, starting from the totals of the ranges
+    before it, which are summed in groups if there are many of them.
     """
-
-    def in_ranges(df: DataFrame) -> DataFrame:
-        return ranges.transform(df).withColumn("bucket", F.col("bucket").cast("int"))
-
-    above = (
-        W.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-    )
-    whole = W.partitionBy(*by)
-    starts = (
-        in_ranges(scored)
-        .groupBy(*by, "bucket")
-        .agg(
-            F.count_if(F.col("label") == 1).alias("bucket_pos"),
-            F.count_if(F.col("label") == 0).alias("bucket_neg"),
-        )
-        .select(
-            *by,
-            "bucket",
-            F.coalesce(F.sum("bucket_pos").over(above), F.lit(0)).alias("pos_above"),
-            F.coalesce(F.sum("bucket_neg").over(above), F.lit(0)).alias("neg_above"),
-            F.sum("bucket_pos").over(whole).alias("all_pos"),
-            F.sum("bucket_neg").over(whole).alias("all_neg"),
-        )
-    )
-    downwards = (
-        W.partitionBy(*by, "bucket")
-        .orderBy(F.desc("score"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    counted, n = score_ranges(scored, by, ranges)
+    keys = [*by, "range"]
+    totals = counted.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    starts = sums_before(totals, by, "range", ["pos", "neg"], n)
+    starts = starts.withColumnsRenamed({k: f"start_{k}" for k in keys})
+    downwards = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
     # The totals have one row per group and range. Whether that is little enough
     # to broadcast is left to Spark; partitioning both sides by the join's keys
     # is no loss, as the running sums need the histogram that way.
-    keys = [*by, "bucket"]
-    starts = starts.select(
-        *[F.col(k).alias(f"start_{k}") for k in keys], *[c for c in starts.columns if c not in keys]
-    )
-    # Null is a group like any other.
-    same = [F.col(k).eqNullSafe(F.col(f"start_{k}")) for k in keys]
-    joined = in_ranges(histogram(scored, by)).join(starts, reduce(and_, same))
+    joined = counted.join(starts, alike(keys, [f"start_{k}" for k in keys]))
     return joined.select(
         *by,
         *[F.col(c).cast("double") for c in ("pos", "neg", "all_pos", "all_neg")],
         *COUNTS,
-        (F.col("pos_above") + F.sum("pos").over(downwards)).cast("double").alias("pos_so_far"),
-        (F.col("neg_above") + F.sum("neg").over(downwards)).cast("double").alias("neg_so_far"),
+        (F.col("pos_before") + F.sum("pos").over(downwards)).cast("double").alias("pos_so_far"),
+        (F.col("neg_before") + F.sum("neg").over(downwards)).cast("double").alias("neg_so_far"),
     )
 
 
@@ -172,18 +142,15 @@ def evaluate(
     scored: DataFrame,
     by: Sequence[str] = BY,
     costs: Costs = Costs(),
-    buckets: int = BUCKETS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Counts, threshold metrics and areas for every group; areas are exact.
 
-    Three narrow passes over the scored rows: one to find score ranges to spread
-    the work over, one to total them, one to build the histogram. Rows that
-    ``countable`` refuses are left out here as they are by ``confusion``, and
-    ``left_out`` counts them.
+    One narrow pass over the scored rows builds the histogram; all else reads that.
+    Rows that ``countable`` refuses are left out here as they are by ``confusion``,
+    and ``left_out`` counts them.
     """
-    known = scored.where(countable(scored))
-    ranges = fit_score_buckets(known, buckets)
-    curve = _running_counts(known, by, ranges)
+    curve = _running_counts(scored, by, ranges)
     totals = curve.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in COUNTS],
         *_areas(),
@@ -191,9 +158,9 @@ def evaluate(
     return with_metrics(totals, costs)
 
 
-def areas(scored: DataFrame, by: Sequence[str] = BY, buckets: int = BUCKETS) -> DataFrame:
+def areas(scored: DataFrame, by: Sequence[str] = BY, ranges: int | None = None) -> DataFrame:
     """The three areas alone, in the columns auc_roc, auc_pr, average_precision."""
-    return evaluate(scored, by, buckets=buckets).select(*by, *AREAS)
+    return evaluate(scored, by, ranges=ranges).select(*by, *AREAS)
 
 
 def utility_baseline(

@@ -25,7 +25,7 @@ from rarebird.operators import evaluation as ev
 from rarebird.operators import impute, medians, profile, reports, sample, split, vectors, weights
 from rarebird.operators import standardise as scaling
 from rarebird.operators.forest import forest_pipeline
-from rarebird.plans.experiments import prepare, score_all
+from rarebird.plans.experiments import fit_all, prepare, score_all
 from rarebird.settings import EXPERIMENTS, ForestSettings
 from rarebird.sources import derived, observations, results, staging
 
@@ -405,12 +405,10 @@ def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     train = split.side(cleaned, "train")
     features = cov.fit_features(train, _features(cleaned))
     weighted = weights.fit_class_weights(train).apply(train)
-    dealt = staging.dealt(
-        weighted.withColumn("deal", F.xxhash64(*map(named, features), "main_label")),
-        ForestSettings().partitions,
-        "deal",
-    )
-    fitted = forest_pipeline(features, False, False).fit(dealt)
+    keyed = weighted.withColumn("deal", F.xxhash64("emis_id", "key_year", *map(named, features), "main_label"))
+    partitions = ForestSettings().partitions(train.count())
+    with staging.kept(staging.dealt(keyed, partitions, "deal")) as rows:
+        fitted = forest_pipeline(features, False, False).fit(rows)
     return fitted.transform(cleaned).select(
         "emis_id",
         "key_year",
@@ -421,11 +419,14 @@ def forest_predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scored_by_models(prepared: DataFrame, width: int) -> DataFrame:
+    return score_all(prepared, width, fit_all(prepared, width))
+
+
 @query
 def experiment_grid(spark: SparkSession, folder: str) -> DataFrame:
-    prepared, features = prepare(_split(spark, folder))
-    scored, _ = score_all(prepared, len(features))
-    return ev.evaluate(scored)
+    prepared, features = prepare(_split(spark, folder), keys=derived.KEY)
+    return ev.evaluate(_scored_by_models(prepared, len(features)))
 
 
 @query
@@ -468,9 +469,8 @@ def experiment_check(spark: SparkSession, folder: str) -> DataFrame:
 def temporal_experiment_check(spark: SparkSession, folder: str) -> DataFrame:
     """The study trained up to a year and tested after it, with exact medians."""
     divided = split.temporal_split(_observations(spark, folder), last_train=derived.SPLIT_AT)
-    prepared, features = prepare(divided, medians="exact")
-    scored, _ = score_all(prepared, len(features))
-    return _experiment_check(ev.evaluate(scored))
+    prepared, features = prepare(divided, medians="exact", keys=["emis_id"])
+    return _experiment_check(ev.evaluate(_scored_by_models(prepared, len(features))))
 
 
 # Metrics.

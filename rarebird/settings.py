@@ -68,9 +68,15 @@ class ForestSettings:
     memory_mb: int = 512
     # Whether to remember the node each row has reached: 4 bytes per row and tree.
     cache_node_ids: bool = True
-    # Partitions of the train rows. Bootstraps are drawn per partition, so the
-    # forest depends on this number, and on nothing else of the cluster.
-    partitions: int = 64
+    # Rows of a partition of the train rows, about, and the least number of
+    # partitions. Bootstraps are drawn per partition, so the forest depends on the
+    # rows and these two numbers, and on nothing of the cluster.
+    partition_rows: int = 50_000
+    least_partitions: int = 8
+
+    def partitions(self, rows: int) -> int:
+        """Partitions of so many train rows."""
+        return max(self.least_partitions, -(-rows // self.partition_rows))
 
 
 @dataclass(frozen=True)

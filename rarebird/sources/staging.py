@@ -7,7 +7,10 @@ lineage, survives the loss of executors, and lets later readers prune columns.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +58,16 @@ def dealt(df: DataFrame, partitions: int, by: str) -> DataFrame:
     on however many cores it runs. Rows alike in ``by`` should be alike.
     """
     return df.repartition(partitions, by).sortWithinPartitions(by)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` computed once for all that reads it inside the block, in memory or on local disk; released behind it.
+
+    Partitions of lost executors are computed again from what ``df`` reads.
+    """
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()

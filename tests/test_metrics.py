@@ -7,6 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.sql import functions as F
 
 from rarebird.operators import evaluation as ev
+from rarebird.operators.prefix_sums import sums_before
 from rarebird.operators import reports
 from rarebird.settings import Costs
 
@@ -83,10 +84,10 @@ def random_rows(n, seed, ties):
 
 
 @pytest.mark.parametrize("ties", [True, False])
-@pytest.mark.parametrize("buckets", [1, 7, 1000])
-def test_agrees_with_spark_evaluators(spark, ties, buckets):
+@pytest.mark.parametrize("ranges", [1, 7, 10_000])
+def test_agrees_with_spark_evaluators(spark, ties, ranges):
     table = scored(spark, random_rows(3000, 5, ties))
-    got = ev.evaluate(table, buckets=buckets).first()
+    got = ev.evaluate(table, ranges=ranges).first()
     typed = table.select(
         F.col("label").cast("double").alias("label"),
         F.col("prediction").cast("double").alias("prediction"),
@@ -115,10 +116,10 @@ def average_precision_by_hand(rows):
     return area
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 100])
-def test_average_precision(spark, buckets):
+@pytest.mark.parametrize("ranges", [None, 1, 5, 100])
+def test_average_precision(spark, ranges):
     rows = random_rows(400, 9, ties=True)
-    got = ev.evaluate(scored(spark, rows), buckets=buckets).first()
+    got = ev.evaluate(scored(spark, rows), ranges=ranges).first()
     assert got.average_precision == pytest.approx(average_precision_by_hand(rows), abs=1e-12)
 
 
@@ -152,17 +153,44 @@ def test_hot_score_and_partitioning_change_nothing(spark):
     rows = random_rows(1500, 3, ties=False) + [(0, 0, 0.25)] * 3000 + [(1, 0, 0.25)] * 30
     table = scored(spark, rows)
     results = [
-        [round(v, 12) if isinstance(v, float) else v for v in ev.evaluate(t, buckets=b).first()]
+        [round(v, 12) if isinstance(v, float) else v for v in ev.evaluate(t, ranges=b).first()]
         for t in (table, table.repartition(1), table.repartition(8, "score"))
         for b in (3, 400)
     ]
     assert all(r == results[0] for r in results)
 
 
+def test_sums_before_in_any_number_of_levels(spark):
+    rows = [(g, b, (b * 7 + len(g or "")) % 5, b % 3) for g in ("a", "bb", None) for b in range(0, 40, 1 if g else 3)]
+    table = spark.createDataFrame(rows, "g string, block int, p int, q int")
+    want = {
+        (g, b): (
+            sum(x[2] for x in rows if x[0] == g and x[1] < b),
+            sum(x[3] for x in rows if x[0] == g and x[1] < b),
+            sum(x[2] for x in rows if x[0] == g),
+        )
+        for g, b, *_ in rows
+    }
+    for fan in (2, 3, 7, 100):
+        got = sums_before(table, ["g"], "block", ["p", "q"], 40, fan).collect()
+        assert {(r.g, r.block): (r.p_before, r.q_before, r.all_p) for r in got} == want and len(got) == len(rows)
+
+
+def test_ranges_hold_a_bounded_number_of_scores(spark, monkeypatch):
+    monkeypatch.setattr(ev, "RANGE_ROWS", 500)
+    rows = random_rows(6000, 5, ties=False) + [(0, 0, 0.25)] * 3000
+    counted, n = ev.score_ranges(scored(spark, rows))
+    held = [r["count"] for r in counted.groupBy("range").count().collect()]
+    assert n == 18 and len(held) > 9 and max(held) < 3 * 500
+    # Ranges are in order of score, so no other rows belong between theirs.
+    ends = counted.groupBy("range").agg({"score": "max"}).orderBy("range").collect()
+    assert [r[1] for r in ends] == sorted((r[1] for r in ends), reverse=True)
+
+
 def test_groups_are_independent(spark):
     one, two = random_rows(300, 1, True), random_rows(200, 2, True)
     both = scored(spark, one, "a").unionByName(scored(spark, two, "b", "train"))
-    together = {(r.experiment, r.split): r for r in ev.evaluate(both, buckets=10).collect()}
+    together = {(r.experiment, r.split): r for r in ev.evaluate(both, ranges=10).collect()}
     for rows, e, s in [(one, "a", "test"), (two, "b", "train")]:
         alone = ev.evaluate(scored(spark, rows, e, s)).first()
         assert together[e, s].auc_pr == pytest.approx(alone.auc_pr, abs=1e-12)

@@ -3,6 +3,7 @@
 import datetime
 import random
 import statistics
+import struct
 from decimal import Decimal
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from rarebird.functions.columns import code_name, lenient_double
 from rarebird.functions.hashing import key_hash
 from rarebird.operators import coverage as cov
+from rarebird.functions.ordering import place, with_place
 from rarebird.operators import impute, medians, profile, sample, split, standardise, vectors, weights
 from rarebird.settings import COUNTRY_NAMES, SECTOR_NAMES
 from rarebird.sources import observations
@@ -157,7 +159,7 @@ def test_exact_sample_of_hot_keys_and_alike_rows(spark):
         for n in (1, 500, 3000, 5999, 9000):
             drawn = [tuple(r) for r in sample.exact_sample(table, ["k"], n).collect()]
             assert len(drawn) == n
-            again = [tuple(r) for r in sample.exact_sample(table.repartition(3), ["k"], n).collect()]
+            again = [tuple(r) for r in sample.exact_sample(table.repartition(3), ["k"], n, listed=1).collect()]
             key = lambda r: tuple((v is None, v or 0) for v in r)
             assert sorted(drawn, key=key) == sorted(again, key=key)
 
@@ -208,12 +210,12 @@ def median_table(spark):
 
 
 @pytest.mark.parametrize("rows_used", [6001, 6000, 3, 2, 1])
-@pytest.mark.parametrize("max_ranked", [10**6, 200, 10, 1])
-def test_exact_medians(spark, rows_used, max_ranked):
+@pytest.mark.parametrize("digit_bits", [12, 20, 5])
+def test_exact_medians(spark, rows_used, digit_bits):
     table, names, rows = median_table(spark)
     if rows_used < 6001:
         table = spark.createDataFrame(rows[:rows_used], table.schema)
-    got = medians.fit_exact_medians(table, names, max_ranked)
+    got = medians.fit_exact_medians(table, names, digit_bits)
     for i, name in enumerate(names):
         values = [r[i] for r in rows[:rows_used] if r[i] is not None and r[i] == r[i]]
         if values:
@@ -222,6 +224,35 @@ def test_exact_medians(spark, rows_used, max_ranked):
             assert name not in got
 
 
+AWKWARD_DOUBLES = [
+    0.0, -0.0, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, -2.2250738585072014e-308,
+    1.0, -1.0, 0.9999999999999999, 1.0000000000000002, 2.0, 1.9999999999999998, 1.7976931348623157e308, -1e308,
+    float("inf"), float("-inf"), 3.0, -3.0, 1e22, 123456.789, 8.98846567431158e307,
+]
+
+
+def test_ordered_integers(spark):
+    pick = random.Random(8)
+    values = AWKWARD_DOUBLES + [struct.unpack(">d", pick.randbytes(8))[0] for _ in range(20_000)]
+    values += [2.0**e * (1 + d * 2.0**-52) for e in range(-1022, 1023) for d in (0, 1, 2**52 - 1)]
+    values = [v for v in values if v == v]
+    table = spark.createDataFrame([(v,) for v in values], "value double")
+    got = with_place(table, "value", "o").collect()
+    assert all(r.o == place(r.value) for r in got) and len(got) == len(values)
+    by_place = sorted(values, key=place)
+    assert all(a <= b for a, b in zip(by_place, by_place[1:]))
+
+
+def test_exact_medians_of_awkward_doubles(spark):
+    pick = random.Random(2)
+    columns = [[pick.choice(AWKWARD_DOUBLES) for _ in range(31)] for _ in range(12)]
+    columns += [[5e-324] * 10 + [0.0] * 10 + [1e-323] * 11, [1.0, 1.0000000000000002] * 15 + [0.9999999999999999]]
+    names = [f"f{i}" for i in range(len(columns))]
+    table = spark.createDataFrame(list(zip(*columns)), ", ".join(f"{n} double" for n in names))
+    for digit_bits in (1, 12):
+        assert medians.fit_exact_medians(table, names, digit_bits) == {n: statistics.median(c) for n, c in zip(names, columns)}
+
+
 def test_approximate_medians(spark):
     table, names, rows = median_table(spark)
     got = medians.fit_approximate_medians(table, names, error=0.01)

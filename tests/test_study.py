@@ -8,7 +8,7 @@ from rarebird import __main__ as command
 from rarebird.operators import forest, reports
 from rarebird.operators import evaluation as ev
 from rarebird.operators.split import hash_split, side
-from rarebird.plans.experiments import prepare, run_study, score_all
+from rarebird.plans.experiments import fit_all, prepare, run_study, score_all
 from rarebird.settings import EXPERIMENTS, ForestSettings
 from rarebird.sources import derived, results, staging
 
@@ -95,8 +95,8 @@ def test_prepared_rows_train_a_forest(spark, observations):
     """Both splits are prepared, evaluated, and fit for a forest of their own."""
     prepared, features = prepare(hash_split(observations, derived.KEY))
     assert prepared.select("split").distinct().count() == 2
-    scored, _ = score_all(prepared, len(features), EXPERIMENTS[:1], TINY)
-    shared = ev.evaluate(scored)
+    fitted = fit_all(prepared, len(features), EXPERIMENTS[:1], TINY)
+    shared = ev.evaluate(score_all(prepared, len(features), fitted, EXPERIMENTS[:1]))
     train = side(prepared, "train").withColumnRenamed("label", "main_label")
     model = forest.forest("features", settings=TINY).fit(staging.dealt(train, 8, "deal"))
     assert model.getNumTrees == TINY.trees
