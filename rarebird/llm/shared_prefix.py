@@ -26,6 +26,7 @@ from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -52,12 +53,11 @@ class Pieces:
 
     def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], unigram: bool = False):
         self.scores, self.byte_ids, self.unigram = scores, byte_ids, unigram
-        # Lengths of the pieces that end with two given characters, longest first.
-        lengths: dict[str, set[int]] = {}
-        for piece in scores:
-            if len(piece) > 1:
-                lengths.setdefault(piece[-2:], set()).add(len(piece))
-        self.lengths = {c: (*sorted(n, reverse=True), 1) for c, n in lengths.items()}
+        # Gives the pieces that end at each character of a word, the longest first.
+        self.endings = ahocorasick.Automaton()
+        for piece, (number, score) in scores.items():
+            self.endings.add_word(piece, (len(piece), number, score, piece))
+        self.endings.make_automaton()
         self.pairs: dict[int | tuple, bool] = {}
         # No piece may go on after a mark that follows another character.
         if any(MARK in p.lstrip(MARK) for p in scores):
@@ -87,29 +87,46 @@ class Pieces:
     # A state is (last piece, state before, score, the piece's id or a character without one).
     def advance(self, word: str, start: int, states: list[tuple]) -> None:
         """Appends the forward states of word[:start + 1], ..., word."""
-        scores, lengths, pairs = self.scores, self.lengths, self.pairs
-        for end in range(start + 1, len(word) + 1):
-            best = None
-            for n in lengths.get(word[end - 2 : end], _ONE):
-                if n > end or (piece := word[end - n : end]) not in scores:
-                    continue
-                before = states[end - n]
-                number, score = scores[piece]
-                if self.unigram:
-                    total = before[2] + score
-                    if best is None or total > best[2]:
-                        best = (piece, before, total, number)
-                    continue
-                left = before[3]
-                key = left << 20 | number if left.__class__ is int else (left, number)
-                verdict = pairs.get(key)
-                if verdict or (verdict is None and self.compatible(before[0], piece, key)):
-                    best = (piece, before, 0.0, number)
-                    break
-            if best is None:  # no piece ends here: the character stands for itself
-                before, last = states[end - 1], word[end - 1]
-                best = (last, before, before[2] + UNKNOWN if self.unigram else 0.0, last)
-            states.append(best)
+        if self.unigram:
+            return self.advance_by_sums(word, start, states)
+        pairs = self.pairs
+        done = start
+        for last, (n, number, _, piece) in self.endings.iter(word):
+            if last < done:  # the state is known, or a longer piece has been taken
+                continue
+            while last > done:
+                self.stand_alone(word[done], states)
+                done += 1
+            before = states[last + 1 - n]
+            left = before[3]
+            key = left << 20 | number if left.__class__ is int else (left, number)
+            verdict = pairs.get(key)
+            if verdict or (verdict is None and self.compatible(before[0], piece, key)):
+                states.append((piece, before, 0.0, number))
+                done += 1
+        for character in word[done:]:
+            self.stand_alone(character, states)
+
+    def advance_by_sums(self, word: str, start: int, states: list[tuple]) -> None:
+        """The same by sums of scores."""
+        best: dict[int, tuple] = {}
+        for last, (n, number, score, piece) in self.endings.iter(word):
+            if last < start:
+                continue
+            while start + len(best) < last:
+                best[start + len(best)] = ()
+            for done in range(len(states) - 1, last):
+                states.append(best[done]) if best[done] else self.stand_alone(word[done], states)
+            before = states[last + 1 - n]
+            if not best.get(last) or before[2] + score > best[last][2]:
+                best[last] = (piece, before, before[2] + score, number)
+        for done in range(len(states) - 1, len(word)):
+            states.append(best[done]) if best.get(done) else self.stand_alone(word[done], states)
+
+    def stand_alone(self, character: str, states: list[tuple]) -> None:
+        """Appends the state behind a character that no piece ends with."""
+        before = states[-1]
+        states.append((character, before, before[2] + UNKNOWN if self.unigram else 0.0, character))
 
     def ids(self, state: tuple) -> list[int]:
         """Ids along the path to a state."""
@@ -140,13 +157,37 @@ class Pieces:
             previous = word
 
 
-_ONE = (1,)
 #: Stands for a piece's id before the first piece.
 _NOTHING = 1 << 19
 _loaded: dict = {}
 
 
-def load(path: str) -> tuple[Pieces, list[bytes], dict[str, bytes]]:
+class Remembered:
+    """Ids of words met: those met lately and, once these are too many, those before, which are then let go."""
+
+    def __init__(self):
+        self.lately: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def keep(self, words: set[str]) -> list[str]:
+        """Brings the known ones of some words to those met lately; returns the others."""
+        if len(self.lately) >= REMEMBERED // 2:
+            self.lately, self.before = {}, self.lately
+        new = []
+        for word in words:
+            if word not in self.lately:
+                ids = self.before.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.lately[word] = ids
+        return new
+
+    def clear(self) -> None:
+        self.lately, self.before = {}, {}
+
+
+def load(path: str) -> tuple[Pieces, list[bytes], Remembered]:
     """The vocabulary, what each id decodes to, and ids of words met; once a worker."""
     if path not in _loaded:
         import sentencepiece
@@ -164,7 +205,10 @@ def load(path: str) -> tuple[Pieces, list[bytes], dict[str, bytes]]:
             else:
                 scores[piece] = (i, sp.get_score(i))
                 spelled.append(piece.replace(MARK, " ").encode())
-        _loaded[path] = (Pieces(scores, byte_ids), spelled, {})
+        # The scores of a BPE model are its ranks, negated; those of others are logarithms.
+        if any(score != int(score) for _, score in scores.values()):
+            raise ValueError(f"{path} is not a BPE model")
+        _loaded[path] = (Pieces(scores, byte_ids), spelled, Remembered())
     return _loaded[path]
 
 
@@ -183,11 +227,9 @@ def encode_blocks(texts: list[str | None], path: str = MODEL) -> Iterator[tuple[
             chars += len(texts[end] or "")
             end += 1
         found = [marked_words(t) for t in texts[start:end]]
-        if len(known) >= REMEMBERED:
-            known.clear()
-        for word, ids in pieces.walk(sorted(set(chain.from_iterable(found)).difference(known))):
-            known[word] = array("i", ids).tobytes()
-        yield start, end, [np.frombuffer(b"".join(map(known.__getitem__, some)), dtype=np.int32) for some in found]
+        for word, ids in pieces.walk(sorted(known.keep(set(chain.from_iterable(found))))):
+            known.lately[word] = array("i", ids).tobytes()
+        yield start, end, [np.frombuffer(b"".join(map(known.lately.__getitem__, some)), dtype=np.int32) for some in found]
         start = end
 
 
