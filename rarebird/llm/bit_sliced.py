@@ -15,8 +15,10 @@ in blocks: the query set against all rows, which is the work asked for.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from math import ceil
+from fractions import Fraction
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ SCALE = 1024
 #: Rows of an index block, and queries of a query block, at most.
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 64
-#: Quantised components must be less than this in size, or scores may not fit.
-_LARGEST = 2**31
+#: Quantised components below this in size are handled as 64-bit integers, others as integers of any size.
+_LARGEST = 2**61
 _SCHEMA = "width int, n int, ids binary, low binary, bits binary, slices binary"
 
 
@@ -39,11 +41,27 @@ def quantise(vectors: list, scale: int = SCALE) -> list[np.ndarray | None]:
     """floor(scale * x) of each vector; None for those that take no part."""
     out: list[np.ndarray | None] = []
     for v in vectors:
-        x = None if v is None else np.floor(np.asarray(v, dtype=np.float64) * scale)
-        out.append(x.astype(np.int64) if x is not None and np.all(np.abs(x) < _LARGEST) else None)
+        x = None if v is None else np.asarray(v, dtype=np.float64)
+        if x is None or not np.all(np.isfinite(x)):
+            out.append(None)
+        elif np.all(np.abs(x) < _LARGEST / scale):
+            out.append(np.floor(x * scale).astype(np.int64))
+        else:
+            out.append(np.array([floor(Fraction(c) * scale) for c in x.tolist()], dtype=object))
     return out
 
 
+def packed_integers(rows: np.ndarray) -> bytes:
+    """Integers of any size, in order."""
+    return json.dumps(rows.tolist()).encode()
+
+
+def unpacked_integers(packed: bytes) -> np.ndarray:
+    rows = np.array(json.loads(packed), dtype=object)
+    small = all(abs(c) < _LARGEST for c in rows.ravel().tolist())
+    return rows.astype(np.int64) if small else rows
+
+
 def slice_block(ids: np.ndarray, rows: np.ndarray) -> dict:
     """The index block of some rows: bitmaps per attribute, rows by ascending id."""
     order = np.argsort(ids, kind="stable")
@@ -51,7 +69,7 @@ def slice_block(ids: np.ndarray, rows: np.ndarray) -> dict:
     low = rows.min(axis=0) if rows.shape[1] else np.empty(0, np.int64)
     above = rows - low
     bits = np.array([int(m).bit_length() for m in above.max(axis=0)], dtype=np.int64)
-    padded = np.zeros((-(-len(ids) // 64) * 64, rows.shape[1]), dtype=np.int64)
+    padded = np.zeros((-(-len(ids) // 64) * 64, rows.shape[1]), dtype=rows.dtype)
     padded[: len(ids)] = above
     maps = [
         np.packbits((padded[:, d] >> i & 1).astype(np.uint8), bitorder="little").view(np.uint64)
@@ -63,7 +81,7 @@ def slice_block(ids: np.ndarray, rows: np.ndarray) -> dict:
         "width": rows.shape[1],
         "n": len(ids),
         "ids": ids.tobytes(),
-        "low": low.tobytes(),
+        "low": packed_integers(low),
         "bits": bits.tobytes(),
         "slices": slices.tobytes(),
     }
@@ -96,7 +114,7 @@ def scores(block: dict, query: np.ndarray) -> tuple[list[np.ndarray], int]:
     """The binary digits, least first, of all rows' scores above a constant, and the constant."""
     words = -(-block["n"] // 64)
     bits = np.frombuffer(block["bits"], np.int64)
-    low = np.frombuffer(block["low"], np.int64)
+    low = json.loads(block["low"])
     slices = np.frombuffer(block["slices"], np.uint64).reshape(-1, words)
     first = np.concatenate([[0], np.cumsum(bits)])
     constant = 0
@@ -179,8 +197,8 @@ def top_k(
     """query_id, rank, vec_id and score of the k best rows for each query, ties to the smaller id.
 
     Both tables have an id and a vector. Rows without id, null vectors and those
-    with null or non-finite components, or with components of 2**31 / 1024 or
-    more in size, take no part. Vectors meet vectors of their length only. A row
+    with null or non-finite components take no part. A score among a query's best
+    that does not fit a long is an error. Vectors meet vectors of their length only. A row
     with the query's id is the query's own. Rows repeated in ``vectors`` are
     ranked each; a query repeated as a whole counts once.
     """
@@ -203,17 +221,17 @@ def top_k(
     def packed(rows: list) -> pd.DataFrame:
         ids = np.array([i for i, _ in rows], np.int64)
         return pd.DataFrame(
-            {"of": [len(rows[0][1])], "asked": [ids.tobytes()], "wanted": [np.stack([x for _, x in rows]).tobytes()]}
+            {"of": [len(rows[0][1])], "asked": [ids.tobytes()], "wanted": [packed_integers(np.stack([x for _, x in rows]))]}
         )
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for block in frame.to_dict("records"):
                 ids = np.frombuffer(block["asked"], np.int64)
-                wanted = np.frombuffer(block["wanted"], np.int64).reshape(len(ids), -1)
+                wanted = unpacked_integers(block["wanted"]).reshape(len(ids), -1)
                 for i, q in zip(ids.tolist(), wanted):
                     near, points = search_block(block, i, q, k)
-                    yield pd.DataFrame({"query_id": i, "query": q.tobytes(), "vec_id": near, "score": points})
+                    yield pd.DataFrame({"query_id": i, "query": packed_integers(q), "vec_id": near, "score": points})
 
     query_blocks = stage(
         asked.repartition(max(1, ceil(asked.count() / BLOCK_QUERIES))).mapInPandas(
