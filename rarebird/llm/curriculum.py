@@ -6,7 +6,7 @@ demand of words is the line's integral. A copy of a document covers an interval
 its source's demand; inverting the demand at the interval's start gives the copy's
 position in training, between 0 and 1, and documents are range-sorted by position.
 
-Within a source, documents are laid out in the order of a hash of their id. The
+Within a source, documents are laid out in the order of a hash of their id and text. The
 running total of words over that order is found without sorting a source in one
 task: hash buckets of some thousand rows are summed, bucket totals are run up per
 source, and only rows of a bucket are put in order together.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rarebird.functions.hashing import told
 from rarebird.llm.common import WORD, free_name
 from rarebird.sources.staging import stage
 
@@ -139,8 +140,8 @@ def mix(
     Each source takes whole words up to the floor of its target, exactly: all of
     its documents in hash order, then again from the first; the last copy may be
     taken in part. Null texts have no words; a null source is one source; rows
-    without words take no part (taken 0, no position). Rows with one id lie side
-    by side, ordered by size, and are mixed each. Rerunning gives the same.
+    without words take no part (taken 0, no position). Rows follow a hash of id and
+    text: those of one id are mixed each, like others. Rerunning gives the same.
     """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = stage(
@@ -148,7 +149,7 @@ def mix(
             F.col(id_column).alias("id"),
             F.col(source).cast("string").alias("source"),
             size.alias("size"),
-            F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit(""))).alias("key"),
+            F.md5(F.concat(told([id_column]), F.md5(told([text])))).alias("key"),
             F.struct(*(F.col(c) for c in keep)).alias("kept") if keep else F.lit(0).alias("kept"),
         ),
         "mix-sizes",
@@ -186,8 +187,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     left out; of the one that is taken in part the last copy stays whole.
     """
     place, row = free_name(docs, "place"), free_name(docs, "row_key")
-    told = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in docs.columns]
-    keyed = docs.withColumn(row, F.md5(F.concat_ws("\x1f", *told)))
+    keyed = docs.withColumn(row, F.md5(told(docs.columns)))
     placed = mix(keyed, text, source, id_column, keep=[row]).select(row, F.explode("positions").alias(place))
     # Texts move once to meet their places: rows alike in all columns are one row here.
     return keyed.dropDuplicates([row]).join(placed, row).orderBy(place, row).select(*docs.columns)
@@ -198,7 +198,8 @@ ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    md5(coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+      || md5(coalesce(length(text) || ':' || text, '-'))) AS key
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

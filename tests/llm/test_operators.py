@@ -268,6 +268,22 @@ def test_top_rows_against_sorting():
         assert sorted(zip([-p for p in points], near.tolist())) == want
 
 
+def test_large_components_take_part(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [2.1e6, 1.0]), (1, [2.0, 1.0]), (2, [4e6, 0.0]), (3, [-4e6, 2.0]), (4, [0.0, 1e30]), (100, [0.0, -0.5]), (200, [1e-30, 0.0])]
+    vectors = spark.createDataFrame(rows, schema)
+    whole = {i: [int(np.floor(1024 * c)) for c in v] for i, v in rows}
+    got = bit_sliced.top_k(vectors.filter("vec_id <> 4"), vectors.filter("vec_id % 100 = 0")).collect()
+    for q in (0, 100, 200):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i not in (q, 4))
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, -n) for n, i in scores]
+    # A vector of any size is found where scores fit a long.
+    far = bit_sliced.top_k(vectors, vectors.filter("vec_id = 200"), k=10).collect()
+    assert [r.score for r in far] == [0] * 6
+    with pytest.raises(Exception, match="out of bounds|too large|Overflow|overflow"):
+        bit_sliced.top_k(vectors, vectors.filter("vec_id = 4")).collect()
+
+
 # HTML.
 
 
@@ -367,6 +383,17 @@ def test_mix_reaches_targets(spark):
     assert sorted((m.doc_id, m.taken, m.position or -1) for m in mixed) == sorted((m.doc_id, m.taken, m.position or -1) for m in again)
 
 
+def test_mixed_rows_are_told_apart(spark):
+    rows = [(1, "w w", "p\x1f=q", "r"), (1, "w w", "p", "q\x1f=r"), (None, "w w w", None, "x"), (None, "w", None, "x")] + [
+        (7, f"w{i}", "hot", "y") for i in range(500)
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    taken = curriculum.mix(table, keep=["lang"]).select("copies").groupBy().sum().first()[0]
+    mixed = curriculum.mixed_documents(table).collect()
+    assert len(mixed) == taken and {tuple(r) for r in mixed} <= set(rows)
+    assert {tuple(r) for r in mixed if r.doc_id == 1} == set(rows[:2])
+
+
 # Token counts.
 
 
@@ -448,6 +475,28 @@ def test_ids_equal_the_librarys(spark):
     assert shared_prefix.decode_block(encoded) == texts
 
 
+def test_models_of_other_kinds_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Other(sentencepiece.SentencePieceProcessor):
+        def get_score(self, i):
+            return super().get_score(i) - 0.5
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    monkeypatch.setattr(shared_prefix, "_loaded", {})
+    with pytest.raises(ValueError, match="not a BPE model"):
+        shared_prefix.load(shared_prefix.MODEL)
+
+
+def test_known_words_are_let_go_in_two_steps(monkeypatch):
+    monkeypatch.setattr(shared_prefix, "REMEMBERED", 4)
+    monkeypatch.setattr(shared_prefix, "BLOCK_CHARS", 5)
+    texts = random_texts(40, 21)
+    want = shared_prefix.encode_block(texts)
+    shared_prefix.load(shared_prefix.MODEL)[2].clear()
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(shared_prefix.encode_block(texts), want))
+
+
 def test_unigram_search_against_brute_force():
     r = random.Random(11)
     scores = {p: (i, -r.random() * 5) for i, p in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "aa", "bab"])}
