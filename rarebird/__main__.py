@@ -2,7 +2,8 @@
 
     spark-submit rarebird/__main__.py PATH [--sample F] [--output DIR] [--split temporal]
 
-Prints profile, per-year split and result table; writes the result table as CSV.
+Prints profile, per-year split and result table; writes the result table as CSV
+and a record of the run, both in place of an earlier run's or neither.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from rarebird.operators import profile, reports, split
 from rarebird.plans.experiments import run_study
 from rarebird.settings import EXPERIMENTS, SPLIT_YEAR, Roles
 from rarebird.sources.observations import load_observations
-from rarebird.sources.results import write_results
+from rarebird.sources.results import write_run
 from rarebird.sources.staging import drop_staged
 
 
@@ -24,7 +25,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="rarebird")
     parser.add_argument("path", help="Parquet table of observations")
     parser.add_argument("--sample", type=float, default=1.0, help="share of the rows to use")
-    parser.add_argument("--output", help="folder for the result CSV")
+    parser.add_argument("--output", help="folder for the result table and the run record")
     parser.add_argument("--split", choices=("random", "temporal"), default="random")
     parser.add_argument("--last-train-year", type=int, default=SPLIT_YEAR)
     parser.add_argument(
@@ -56,7 +57,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         print(f"What {title} changes, from {names[left]} to {names[right]}")
         reports.ablation(evaluated, names[left], names[right]).show(truncate=False)
     if options.output:
-        write_results(study.results, options.output)
+        write_run(study.results, study.record() | {"total_seconds": time.perf_counter() - began}, options.output)
     evaluated.unpersist()
     print(f"took {time.perf_counter() - began:.1f} s in all")
 

@@ -211,6 +211,8 @@ def result_roundtrip() -> str:
         *[f'{picked(c, "test")} AS "Test_{c.upper()}"' for c in ("tp", "tn", "fp", "fn")],
         case([(f, f"CAST({i} AS DOUBLE)") for f, _, i in numbered]) + ' AS "TrainTime_s"',
         case([(f, f"'{e.short_name}'") for f, e, _ in numbered]) + " AS short_name",
+        f"CAST({sum(i for _, _, i in numbered)} AS DOUBLE) AS total_seconds",
+        case([(f, f"CAST({i} AS DOUBLE)") for f, _, i in numbered]) + " AS recorded",
     ]
     return evaluated(f"SELECT {', '.join(columns)} FROM evaluated GROUP BY experiment")
 
@@ -373,6 +375,11 @@ ORACLE: dict[str, str] = {
             for f in KEPT_FEATURES
         )
     ),
+    "sketch_medians_check": with_(
+        " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, count({f}) AS n, TRUE AS within FROM divided WHERE year <= 1997" for f in ALL_FEATURES
+        )
+    ),
     "dropped_features": with_(
         f"""SELECT feature, n, non_null, {r6("(n - non_null) / CAST(n AS DOUBLE)")} AS missing_share
             FROM coverage WHERE share < 0.05""",

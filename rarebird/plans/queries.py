@@ -22,7 +22,7 @@ from rarebird.functions.columns import lenient_double, missing_to_null, named
 from rarebird.functions.metrics import METRICS
 from rarebird.operators import coverage as cov
 from rarebird.operators import evaluation as ev
-from rarebird.operators import impute, medians, profile, reports, sample, split, vectors, weights
+from rarebird.operators import impute, medians, profile, reports, sample, sketches, split, vectors, weights
 from rarebird.operators import standardise as scaling
 from rarebird.operators.forest import forest_pipeline
 from rarebird.plans.experiments import fit_all, prepare, score_all
@@ -113,14 +113,17 @@ def column_roles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def result_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """The result file written and read back, under the real experiment names."""
+    """The result file and the run record written and read back, under the real experiment names."""
     real = {s: e.name for s, e in zip(NAMES, EXPERIMENTS)}
     name = F.create_map(*[F.lit(x) for pair in real.items() for x in pair])
     evaluated = _evaluated(spark, folder).withColumn("experiment", name[F.col("experiment")])
     path = staging.new_path(spark, "results")
     seconds = {e.name: float(i) for i, e in enumerate(EXPERIMENTS, 1)}
-    results.write_results(reports.result_table(evaluated, seconds), path)
-    return results.read_results(spark, path)
+    record = {"total_seconds": sum(seconds.values()), "training_seconds": seconds}
+    results.write_run(reports.result_table(evaluated, seconds), record, path)
+    read, run = results.read_run(spark, path)
+    # The record is one row.
+    return read.join(F.broadcast(run.select("total_seconds", F.explode("training_seconds").alias("run", "recorded"))), F.col("run") == F.col("Experiment")).drop("run")
 
 
 # Columns.
@@ -271,6 +274,19 @@ def feature_medians_check(spark: SparkSession, folder: str) -> DataFrame:
     return errors.select("feature", "n", within.alias("within"))
 
 
+@query
+def sketch_medians_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Are medians of the years up to a cut, from sketches stored by year, within the sketches' error?"""
+    cleaned = _staged(spark, folder)
+    features = _features(cleaned)
+    stored = staging.stage(sketches.value_sketches(cleaned, features, ["key_year"]), "sketches")
+    early = F.col("key_year") <= derived.SPLIT_AT
+    found = {r.feature: r.value for r in sketches.quantiles(sketches.merged(stored.where(early)), 0.5).collect()}
+    errors = medians.rank_errors(cleaned.where(early), found)
+    within = F.col("error") <= sketches.rank_error(sketches.SIZE) + 1.0 / F.col("n")
+    return errors.select("feature", "n", within.alias("within"))
+
+
 @query
 def dropped_features(spark: SparkSession, folder: str) -> DataFrame:
     train = split.side(_cleaned(spark, folder), "train")

@@ -14,7 +14,7 @@ from rarebird.functions.columns import code_name, lenient_double
 from rarebird.functions.hashing import key_hash
 from rarebird.operators import coverage as cov
 from rarebird.functions.ordering import place, with_place
-from rarebird.operators import impute, medians, profile, sample, split, standardise, vectors, weights
+from rarebird.operators import impute, medians, profile, sample, sketches, split, standardise, vectors, weights
 from rarebird.settings import COUNTRY_NAMES, SECTOR_NAMES
 from rarebird.sources import observations
 
@@ -263,6 +263,26 @@ def test_approximate_medians(spark):
         assert below - 0.011 <= 0.5 <= upto + 0.011, name
 
 
+def test_sketches_of_any_set_of_groups(spark):
+    pick = random.Random(6)
+    rows = [(pick.choice([2001, 2002, 2003, None]), pick.gauss(0, 1), float(pick.randrange(3)), NAN) for _ in range(20_000)]
+    rows += [(2001, None, 1.0, None)] * 5
+    table = spark.createDataFrame(rows, "year int, a double, `b.c` double, none double")
+    stored = sketches.value_sketches(table.repartition(4), ["a", "b.c", "none"], ["year"])
+    held = {(r.year, r.feature): r.n for r in stored.collect()}
+    assert held[2001, "b.c"] == held[2001, "a"] + 5 and {f for _, f in held} == {"a", "b.c"} and len(held) == 8
+    bound = sketches.rank_error()
+    for years in ([2001], [2001, 2003], [2001, 2002, 2003]):
+        together = sketches.merged(stored.where(F.col("year").isin(years)))
+        for r in sketches.quantiles(together, [0.1, 0.5, 0.9]).collect():
+            values = [row[1 if r.feature == "a" else 2] for row in rows if row[0] in years]
+            values = [v for v in values if v is not None]
+            assert r.n == len(values)
+            for share, value in zip((0.1, 0.5, 0.9), r.value):
+                below, upto = (sum(test(v) for v in values) / r.n for test in (lambda v: v < value, lambda v: v <= value))
+                assert below - bound <= share <= upto + bound
+
+
 def test_missing_values(spark):
     rows = [(1.0,), (2.0,), (NAN,), (4.0,), (None,), (7.0,)]
     table = spark.createDataFrame(rows, "a double")

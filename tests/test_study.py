@@ -8,6 +8,7 @@ from rarebird import __main__ as command
 from rarebird.operators import forest, reports
 from rarebird.operators import evaluation as ev
 from rarebird.operators.split import hash_split, side
+from rarebird.plans import experiments
 from rarebird.plans.experiments import fit_all, prepare, run_study, score_all
 from rarebird.settings import EXPERIMENTS, ForestSettings
 from rarebird.sources import derived, results, staging
@@ -129,6 +130,42 @@ def test_result_file(spark, study, tmp_path):
             assert back[r.Experiment][column] == value
 
 
+def test_a_failed_run_leaves_the_one_before(spark, study, tmp_path, monkeypatch):
+    path = str(tmp_path / "run")
+    results.write_run(study.results, study.record(), path)
+    broken = study.results.withColumn("TestAcc", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception):
+        results.write_run(broken, {"total_seconds": 1.0}, path)
+    assert results.read_run(spark, path)[1].first().total_seconds == study.total_seconds
+    results.write_run(study.results, {"total_seconds": 2.0}, path)
+    table, record = results.read_run(spark, path)
+    assert [r.Experiment for r in table.collect()] == NAMES and record.first().total_seconds == 2.0
+    assert [p.name for p in tmp_path.iterdir()] == ["run"]
+
+
+def test_partitions_follow_from_the_rows(spark):
+    made = ForestSettings()
+    assert [made.partitions(n) for n in (0, 1, 400_000, 400_001, 10**9)] == [8, 8, 8, 9, 20_000]
+
+
+def test_train_rows_are_dealt_once(spark, observations):
+    """All fits read the kept rows, which are let go behind them."""
+    prepared, features = prepare(hash_split(observations, derived.KEY), keys=derived.KEY)
+    seen = []
+    kept = experiments.kept
+
+    def watched(df):
+        seen.append(df)
+        return kept(df)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(experiments, "kept", watched)
+        fitted = fit_all(prepared, len(features), EXPERIMENTS, TINY)
+    assert len(seen) == 1 and not seen[0].is_cached
+    assert fitted.partitions == seen[0].rdd.getNumPartitions() == 8
+    assert fitted.rows == side(prepared, "train").count() and set(fitted.forests) == {"features", "scaled", "components"}
+
+
 def test_published_result_layout(spark, tmp_path):
     """A file with TP.. columns, names without commas and a trailing line of text."""
     metrics = ["Acc", "AUC", "PRAUC", "Prec", "Recall", "F1", "F2", "MCC", "Utility"]
@@ -183,4 +220,8 @@ def test_command_line(spark, observations, tmp_path, capsys, monkeypatch):
     )
     command.run(spark, options)
     assert "features kept" in capsys.readouterr().out
-    assert results.read_results(spark, f"{tmp_path}/out").count() == 4
+    table, record = results.read_run(spark, f"{tmp_path}/out")
+    assert table.count() == 4
+    run = record.first()
+    assert run.total_seconds >= max(run.training_seconds.values()) > 0 and run.train_rows == 3519
+    assert run.train_partitions == TINY.partitions(run.train_rows) == 8
