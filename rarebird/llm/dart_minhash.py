@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rarebird.llm.common import CACHE_WORDS, words
+from rarebird.llm.common import CACHE_WORDS, free_name, words
 from rarebird.sources.staging import stage
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ SMALL_PIECES = 1_000_000
 #: Rows of small tables that a task holds.
 TASK_ROWS = 200_000
 ROWS = 5
+#: Found in every text with a word.
+HAS_WORDS = r"[^\x20\x09-\x0D]"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _DART = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -326,7 +328,7 @@ def components(edges: DataFrame) -> DataFrame:
             return leaves.unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(
+def text_classes(
     docs: DataFrame,
     text: str = "text",
     id_column: str = "doc_id",
@@ -335,26 +337,35 @@ def near_duplicates(
     shingle: int = SHINGLE,
     bands: int = BANDS,
     rows: int = ROWS,
-) -> DataFrame:
-    """Per row: the id and class_id, the least id among all texts that links join.
+) -> tuple[DataFrame, DataFrame]:
+    """The rows as (id, content), and the class of each distinct text with words, both staged.
 
-    Equal texts are one class. Texts of fewer words than a run are compared as
-    a whole; null texts and texts without words are alike to nothing but equal
-    texts with words, so each of their rows is its own class. Rows that share an
-    id are one document. Rows without id have the class of equal texts that have
-    one, or null.
+    ``content`` is the SHA-256 of the text, null for texts without words. A class has
+    the least id of its texts, null if none of them has one (class_id), and a
+    text that stands for it: the least by id, nulls last, then by content (shown).
+    Texts are compared whatever ids their rows have.
     """
-    content = F.sha2(F.col("text"), 256)
-    some = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    has_words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    keyed = some.select("id", F.when(has_words, content).alias("content"))
-    classes = stage(keyed, "contents")
-    firsts = stage(
-        classes.filter("content is not null").groupBy("content").agg(F.min("id").alias("first")).filter("first is not null"),
-        "firsts",
+    some = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
+    with_words = some.filter(F.col("text").rlike(HAS_WORDS))
+    contents = stage(some.select("id", _content("text").alias("content")), "contents")
+    known = contents.filter("content is not null")
+    # An id that one row alone bears finds that row's text without hashing texts again.
+    alone = (
+        known.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("content").alias("content")).filter("n = 1")
+    )
+    no_id = F.lit(None).cast(contents.schema["id"].dataType)
+    firsts = (
+        known.select("content", "id", no_id.alias("own"))
+        .union(alone.select("content", no_id, "id"))
+        .groupBy("content")
+        .agg(F.min("id").alias("first"), F.min("own").alias("own"))
     )
-    # One row a text: the row with the least id of those with its content.
-    single = some.join(firsts.select(F.col("first").alias("id")).distinct(), "id", "left_semi").filter(has_words)
+    # The numbers are those of the table as written, whatever task wrote a part of it.
+    firsts = stage(firsts.withColumn("key", F.monotonically_increasing_id()), "firsts")
+    by_id = with_words.join(firsts.filter("own is not null").select(F.col("own").alias("id"), "key"), "id").select("key", "text")
+    others = firsts.filter("own is null").select("content", "key")
+    by_content = with_words.withColumn("content", _content("text")).join(others, "content").select("key", "text")
+    single = by_id.unionByName(by_content.dropDuplicates(["key"])).withColumnRenamed("key", "id")
     keys = single.select("id", F.explode(_bands(weighting, bands, rows, shingle)("text")).alias("bucket"))
     keys = stage(keys, "band-keys")
     shared = keys.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last")
@@ -366,20 +377,49 @@ def near_duplicates(
         "shingle-sets",
     )
     roots = links(members.join(sets.select("id", F.size("pieces").alias("n")), "id"), sets, similarity)
-    # Ids that several contents share join these contents too.
-    own = firsts.join(roots, F.col("first") == F.col("id"), "left").select(
-        "content", F.coalesce("root", "first").alias("root")
-    )
-    mapped = classes.join(own, "content", "left")
-    return mapped.select(F.col("id").alias(id_column), F.coalesce("root", "id").alias("class_id"))
+    linked = firsts.join(roots.withColumnRenamed("id", "key"), "key").select("content", "first", "root")
+    # Ids that are missing come behind all others.
+    heads = linked.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "content")).alias("head"))
+    joined = linked.join(heads, "root").select("content", F.col("head.first").alias("class_id"), F.col("head.content").alias("shown"))
+    lonely = firsts.join(linked.select("content"), "content", "left_anti")
+    lonely = lonely.select("content", F.col("first").alias("class_id"), F.col("content").alias("shown"))
+    return contents, stage(joined.unionByName(lonely), "text-classes")
+
+
+def _content(column: str) -> Column:
+    """32 bytes that tell texts with words apart; null for others."""
+    return F.when(F.col(column).rlike(HAS_WORDS), F.unhex(F.sha2(F.col(column), 256)))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **settings) -> DataFrame:
+    """Per row: the id and class_id, the least id among all texts that links join.
+
+    Equal texts are one class. Texts of fewer words than a run are compared as
+    a whole; null texts and texts without words are alike to nothing, so the class of
+    such a row is its own id. Rows without id have the class of their text, null
+    if no text of the class has an id. Rows that share an id but not a text have the
+    classes of their texts. An empty table has no rows. ``settings`` as in ``text_classes``.
+    """
+    contents, classes = text_classes(docs, text, id_column, **settings)
+    mapped = contents.join(classes, "content", "left")
+    # Where the content is null there is no class to look up.
+    own = F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return mapped.select(F.col("id").alias(id_column), own.alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **settings) -> DataFrame:
-    """The rows of one document of each class, unchanged; rows without id all stay.
+    """One row of each class, unchanged: that of the least id, or of the least content hash where none has an id.
 
-    Of repeated rows with the class's id, one stays.
+    Of repeated rows with that id and text, one stays; rows that share an id but are of
+    different classes all may. Null texts and texts without words are no copies of
+    each other: one row of each such id and text stays, and all of those without id.
     """
-    classes = near_duplicates(docs, text, id_column, **settings)
-    kept = classes.filter(F.col(id_column) == F.col("class_id")).select(id_column).distinct()
-    known = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return known.unionByName(docs.filter(F.col(id_column).isNull()))
+    _, classes = text_classes(docs, text, id_column, **settings)
+    content, its_id, its_content = (free_name(docs, name) for name in ("text_hash", "class_id", "class_text"))
+    shown = classes.filter("content = shown").select(F.col("class_id").alias(its_id), F.col("content").alias(its_content))
+    mine = F.col(id_column).eqNullSafe(F.col(its_id)) & (F.col(content) == F.col(its_content))
+    known = docs.withColumn(content, _content(text)).join(shown, mine, "left_semi")
+    known = known.dropDuplicates([id_column, content]).drop(content)
+    wordless = docs.filter(F.coalesce(~F.col(text).rlike(HAS_WORDS), F.lit(True)))
+    some_id = F.col(id_column).isNotNull()
+    return known.unionByName(wordless.filter(some_id).dropDuplicates([id_column, text])).unionByName(wordless.filter(~some_id))

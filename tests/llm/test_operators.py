@@ -564,10 +564,33 @@ def test_classes_against_all_pairs(spark, monkeypatch, small, weighting):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = dart_minhash.near_duplicates(table, weighting=weighting, bands=48).collect()
+    got = dart_minhash.near_duplicates(table, weighting=weighting).collect()
     assert {g.doc_id: g.class_id for g in got} == {i: root(i) for i in range(len(texts))}
 
 
+def test_texts_are_linked_whatever_their_ids(spark):
+    a, b, c = ([" ".join(f"{k}{i}" for i in range(40)) + f" end{n}" for n in range(3)] for k in "abc")
+    rows = [
+        (None, a[0], "near"), (None, a[1], "near"), (9, a[2], "near"),  # ids missing
+        (5, b[0], "one id"), (5, c[0], "one id"), (5, b[0], "one id"), (6, b[1], "near"),  # an id of unlike texts
+        (None, c[1], "near"), (None, c[1], "again"), (None, "nobody's text", "alone"), (None, "nobody's text", "alone"),
+        (7, None, "none"), (7, None, "none"), (7, " ", "none"), (None, None, "none"), (None, None, "none"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, Class_ID string")
+    got = Counter((r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(table).collect())
+    # a is 9's class, b and c are classes of their own that are both known by 5.
+    assert got == Counter({(None, 9): 2, (9, 9): 1, (5, 5): 3, (6, 5): 1, (None, 5): 2, (None, None): 4, (7, 7): 3})
+    single = dart_minhash.one_of_each(table)
+    assert single.columns == table.columns
+    kept = Counter((r.doc_id, r.text) for r in single.collect())
+    want = [(9, a[2]), (5, b[0]), (5, c[0]), (None, "nobody's text"), (7, None), (7, " "), (None, None), (None, None)]
+    assert kept == Counter(want)
+    named = table.select(table.doc_id.cast("string").alias("doc_id"), "text")
+    assert Counter((r.doc_id, r.class_id) for r in dart_minhash.near_duplicates(named).collect()) == Counter(
+        {tuple(None if v is None else str(v) for v in key): n for key, n in got.items()}
+    )
+
+
 def test_small_buckets_lose_no_link():
     r = random.Random(14)
     for _ in range(40):
