@@ -7,7 +7,7 @@ lineage, survives the loss of executors, and lets later readers prune columns.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -32,12 +32,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{parent}/{name}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this process has staged; nothing may read it any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _written:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+class Chain:
+    """Tables staged one after another, each from the last; what a link no longer needs is deleted.
+
+    ``add`` computes ``make()``, writes its table and deletes everything staged on the
+    way to it, the table before it included. One chain at a time may grow in a
+    process, and no other thread may stage tables meanwhile.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.last: str | None = None
+
+    def add(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        before = set(_written)
+        table = stage(make(), name)
+        last = _written[-1]
+        for folder in [f for f in _written if f not in before and f != last or f == self.last]:
+            _delete(self.spark, folder)
+            _written.remove(folder)
+        self.last = last
+        return table
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
