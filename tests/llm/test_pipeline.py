@@ -1,10 +1,12 @@
 """The corpus pipeline on a small table, stage by stage."""
 
+import os
+
 import corpus_pipeline
 from conftest import DATA
 
 from rarebird.llm import dart_minhash, secret_scan, shared_prefix
-from rarebird.sources.staging import stage
+from rarebird.sources.staging import shared_folder, stage
 
 
 def test_stages_do_what_they_say(spark):
@@ -23,3 +25,12 @@ def test_stages_do_what_they_say(spark):
     assert mixed.select("doc_id").distinct().join(masked, "doc_id", "left_anti").count() == 0
     decoded = shared_prefix.decode(encoded).select("doc_id", "text")
     assert decoded.exceptAll(mixed.select("doc_id", "text")).count() == 0 and decoded.count() == mixed.count()
+
+
+def test_only_the_last_table_stays(spark):
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
+    (left,) = set(os.listdir(folder)) - before
+    assert os.listdir(f"{folder}/{left}") == ["pipeline-sentencepiece"]
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids"] and got.count() > 0
