@@ -363,7 +363,8 @@ def text_classes(
     # The numbers are those of the table as written, whatever task wrote a part of it.
     firsts = stage(firsts.withColumn("key", F.monotonically_increasing_id()), "firsts")
     by_id = with_words.join(firsts.filter("own is not null").select(F.col("own").alias("id"), "key"), "id").select("key", "text")
-    others = firsts.filter("own is null").select("content", "key")
+    # In a table of its own, so that its size is known: texts need not move for the sake of few others, or none.
+    others = stage(firsts.filter("own is null").select("content", "key"), "texts-of-no-id")
     by_content = with_words.withColumn("content", _content("text")).join(others, "content").select("key", "text")
     single = by_id.unionByName(by_content.dropDuplicates(["key"])).withColumnRenamed("key", "id")
     keys = single.select("id", F.explode(_bands(weighting, bands, rows, shingle)("text")).alias("bucket"))
