@@ -31,8 +31,13 @@ def key_hash(keys: Sequence[str], salt: str = "") -> Column:
     return F.md5(F.concat(F.lit(salt), text) if salt else text)
 
 
-def below_share(digest: Column, share: float) -> Column:
-    """True for the given share of all hashes (resolution 2**-32)."""
+def share_bound(share: float) -> str:
+    """The first eight digits of the least hash outside the given share of all hashes."""
     if not 0.0 < share < 1.0:
         raise ValueError(f"share must lie between 0 and 1, not {share}")
-    return F.substring(digest, 1, 8) < F.lit(f"{int(share * 2**32):08x}")
+    return f"{int(share * 2**32):08x}"
+
+
+def below_share(digest: Column, share: float) -> Column:
+    """True for the given share of all hashes (resolution 2**-32)."""
+    return F.substring(digest, 1, 8) < F.lit(share_bound(share))

@@ -325,6 +325,14 @@ ORACLE: dict[str, str] = {
         """SELECT emis_id, year, main_label FROM company_years
            WHERE substr(md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year)), 1, 8) < '19999999'"""
     ),
+    "laid_sample": with_(
+        """SELECT emis_id, year, main_label FROM company_years
+           WHERE substr(md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year)), 1, 8) < '19999999'"""
+    ),
+    "laid_side": with_(
+        """SELECT emis_id, 'test' AS split, n_orders, main_label FROM company_years WHERE year > 1997
+           AND substr(md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year)), 1, 8) < '80000000'"""
+    ),
     "exact_sample": with_(
         """SELECT emis_id, year, main_label FROM company_years
            ORDER BY md5(concat('sample-', length(CAST(emis_id AS VARCHAR)), ':', emis_id, length(CAST(year AS VARCHAR)), ':', year))

@@ -27,7 +27,7 @@ from rarebird.operators import standardise as scaling
 from rarebird.operators.forest import forest_pipeline
 from rarebird.plans.experiments import fit_all, prepare, score_all
 from rarebird.settings import EXPERIMENTS, ForestSettings
-from rarebird.sources import derived, observations, results, staging
+from rarebird.sources import derived, layout, observations, results, staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMES = derived.FORMULAS
@@ -191,6 +191,23 @@ def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("emis_id", "year", "main_label")
 
 
+def _layout(spark: SparkSession, folder: str) -> layout.Layout:
+    return layout.lay_out(_observations(spark, folder), staging.new_path(spark, "layout"), derived.KEY)
+
+
+@query
+def laid_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample of ``hash_sample`` from a table laid out for it."""
+    return _layout(spark, folder).sample(spark, 0.1).select("emis_id", "year", "main_label")
+
+
+@query
+def laid_side(spark: SparkSession, folder: str) -> DataFrame:
+    """The test side of a half of the rows, from the folders of its years and hashes."""
+    chosen = _layout(spark, folder).side(spark, "test", derived.SPLIT_AT, 0.5)
+    return chosen.select("emis_id", "split", "n_orders", "main_label")
+
+
 @query
 def exact_sample(spark: SparkSession, folder: str) -> DataFrame:
     chosen = sample.exact_sample(_observations(spark, folder), derived.KEY, 500)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from rarebird.functions import long
 from rarebird.functions.ordering import with_place
-from rarebird.operators import coverage, evaluation, medians, split
+from rarebird.operators import coverage, evaluation, medians, sample, split
 from rarebird.plans.queries import REGISTRY
-from rarebird.sources import derived, observations, staging
+from rarebird.sources import derived, layout, observations, staging
 
 FOLDER = f"{DATA}/sf0.001"
 
@@ -41,6 +41,42 @@ def test_year_condition_reaches_the_scan(table):
         assert chosen.count() == split.side(both, which).count()
 
 
+def test_layout_reads_only_the_folders_asked_for(spark, table):
+    laid = layout.lay_out(table, staging.new_path(spark, "laid"), derived.KEY)
+    every = laid.rows(spark)
+    assert every.columns == table.columns
+    assert every.exceptAll(table).isEmpty() and table.exceptAll(every).isEmpty()
+    for fraction in (0.1, 0.5, 1.0):
+        got, want = laid.sample(spark, fraction), sample.hash_sample(table, derived.KEY, fraction)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    for which in ("train", "test"):
+        got, want = laid.side(spark, which, 1997), split.temporal_side(table, which, last_train=1997)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    try:
+        for chosen, wanted in [
+            (laid.sample(spark, 0.1), ["(folder_place <= 1)"]),
+            (laid.side(spark, "test", 1997, 0.1), ["(folder_place <= 1)", "(folder_year > 1997)"]),
+        ]:
+            filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan(chosen)).group(1)
+            assert all(w in filters for w in wanted), filters
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_layout_of_awkward_rows(spark):
+    rows = [(1, 1997, "x"), (1, 1997, "x"), (2, None, "y"), (None, 1998, None)]
+    table = spark.createDataFrame(rows, "id int, year int, place string")
+    laid = layout.lay_out(table, staging.new_path(spark, "laid"), ["id", "year"])
+    assert laid.rows(spark).exceptAll(table).isEmpty() and laid.rows(spark).count() == 4
+    assert [tuple(r) for r in laid.side(spark, "test", 1997).collect()] == [(None, None, "test")]
+    assert laid.side(spark, "train", 1997).count() == 2
+    empty = layout.lay_out(table.limit(0), staging.new_path(spark, "laid"), ["id"])
+    assert empty.rows(spark).isEmpty() and empty.sample(spark, 0.5).isEmpty()
+    with pytest.raises(ValueError, match="whole number"):
+        layout.lay_out(table, staging.new_path(spark, "laid"), ["id"], year="place")
+
+
 def test_only_wanted_columns_are_read(table):
     scan = re.search(r"ReadSchema: struct<([^>]*)>", plan(table.groupBy("country").count()))
     assert scan.group(1) == "country:int"
