@@ -355,6 +355,13 @@ ORACLE: dict[str, str] = {
     "valid_features": with_(
         f"SELECT feature, {r6('share')} AS share FROM coverage WHERE share >= 0.05", COVERAGE
     ),
+    "study_tally": with_(
+        " UNION ALL ".join(
+            f"""SELECT {name} AS feature, split, CAST(main_label AS INTEGER) AS label, count(*) AS n,
+                       count({value}) AS non_null FROM divided GROUP BY split, main_label"""
+            for name, value in [("NULL", "1"), *((f"'{f}'", as_double(f)) for f in ALL_FEATURES)]
+        )
+    ),
     "class_weights": with_(
         " UNION ALL ".join(
             f"""SELECT {k} AS label, count(*) FILTER (WHERE main_label = {k}) AS n,

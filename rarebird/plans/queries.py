@@ -22,7 +22,7 @@ from rarebird.functions.columns import lenient_double, missing_to_null, named
 from rarebird.functions.metrics import METRICS
 from rarebird.operators import coverage as cov
 from rarebird.operators import evaluation as ev
-from rarebird.operators import impute, medians, profile, reports, sample, sketches, split, vectors, weights
+from rarebird.operators import impute, medians, profile, reports, sample, sketches, split, tally, vectors, weights
 from rarebird.operators import standardise as scaling
 from rarebird.operators.forest import forest_pipeline
 from rarebird.plans.experiments import fit_all, prepare, score_all
@@ -250,6 +250,12 @@ def valid_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(kept.select("feature", "share"))
 
 
+@query
+def study_tally(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = _cleaned(spark, folder)
+    return tally.tally(cleaned, _features(cleaned))
+
+
 @query
 def class_weights(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(weights.class_weights(split.side(_split(spark, folder), "train")))

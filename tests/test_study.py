@@ -1,17 +1,20 @@
 """The whole study, its result file, and the staged tables behind it."""
 
+import random
+
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from rarebird import __main__ as command
-from rarebird.operators import forest, reports
+from rarebird.operators import coverage, forest, profile, reports, tally, weights
 from rarebird.operators import evaluation as ev
 from rarebird.operators.split import hash_split, side
 from rarebird.plans import experiments
 from rarebird.plans.experiments import fit_all, prepare, run_study, score_all
 from rarebird.settings import EXPERIMENTS, ForestSettings
 from rarebird.sources import derived, results, staging
+from rarebird.sources.observations import clean, feature_columns, labelled
 
 TINY = ForestSettings(trees=6, depth=4, min_rows_per_leaf=3)
 NAMES = [e.name for e in EXPERIMENTS]
@@ -225,3 +228,52 @@ def test_command_line(spark, observations, tmp_path, capsys, monkeypatch):
     run = record.first()
     assert run.total_seconds >= max(run.training_seconds.values()) > 0 and run.train_rows == 3519
     assert run.train_partitions == TINY.partitions(run.train_rows) == 8
+
+
+def test_tally_agrees_with_separate_counts(spark, observations):
+    """Missing and unknown labels, NaN, features that are hardly there; no feature; no row."""
+    label = F.when(F.col("n_orders") == 2, None).when(F.col("n_orders") == 3, 7).otherwise(F.col("main_label"))
+    some = observations.withColumn("main_label", label).withColumn("gaps", F.when(F.col("n_orders") == 4, F.lit("NaN").cast("double")))
+    cleaned = clean(hash_split(some, derived.KEY), keep=("split",))
+    names = feature_columns(cleaned, exclude=("split",))
+    got = tally.take_tally(cleaned, names)
+    train = labelled(side(cleaned, "train"))
+    counts = profile.row_counts(labelled(cleaned)).first()
+    assert (got.count("train"), got.count("test")) == (counts.train, counts.test) and counts.train > counts.test > 0
+    assert got.unlabelled == cleaned.where("main_label IS NULL").count() > 0
+    assert got.rows["train", tally.OTHER] == train.where("main_label = 7").count() > 0
+    shares = {r.feature: r.share for r in coverage.coverage(train, names).collect()}
+    assert {f: got.coverage(f) for f in names} == shares and shares["gaps"] == 0
+    assert got.features(names) == coverage.fit_features(train, names) != names
+    assert got.weights() == weights.fit_class_weights(train)
+    none = tally.take_tally(cleaned, [])
+    assert none.rows == got.rows and none.present == {}
+    empty = tally.take_tally(cleaned.limit(0), names)
+    assert empty.rows == {} and empty.features(names) == names and empty.count("train") == empty.unlabelled == 0
+
+
+@pytest.mark.parametrize("medians,passes", [("approximate", 3), ("exact", 1)])
+def test_preparing_reads_the_input_a_known_number_of_times(spark, observations, medians, passes):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    # The pandas function stands for the input: it counts the rows that pass.
+    watched = hash_split(observations, derived.KEY).mapInPandas(counted, hash_split(observations, derived.KEY).schema)
+    made = experiments.prepare_counted(watched, medians=medians, keys=derived.KEY)
+    assert read.value == passes * observations.count()
+    assert made.counts.count("train") == side(made.table, "train").count()
+
+
+def test_rows_that_change_between_the_passes_are_noticed(spark, observations):
+    def some(frames):
+        r = random.SystemRandom()
+        for frame in frames:
+            yield frame[[r.random() < 0.5 for _ in range(len(frame))]]
+
+    divided = hash_split(observations, derived.KEY)
+    with pytest.raises(ValueError, match="have changed"):
+        prepare(divided.mapInPandas(some, divided.schema), keys=derived.KEY)
