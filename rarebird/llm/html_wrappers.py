@@ -9,20 +9,30 @@ is widened by one page after another; wrappers of parts of a host are aligned in
 the same way, so hosts of any size are inferred in parallel and pages are read
 where they lie.
 
-A wrapper says which of its texts are the page's template: constants, and regions
-that are mostly links. A text is constant if it stands at one path on half of the
-host's pages or more, and on three at least; pages alike in text count once. These
-counts are taken of all texts at once, by host, path and text. Extraction reads a
-page again along its host's wrapper and leaves out those and what its markup names
-as not the article. What is left in the elements that markup names as the article
-is the result, or if that is nothing, what is left in the body.
+A wrapper says which parts of a page are the host's template, and extraction reads a
+page again along its host's wrapper to leave them out:
+
+- regions that are mostly links;
+- constants: texts that stand at one path on half of the host's pages or more, and on
+  three at least; pages alike in text count once. They are counted for all texts at
+  once, by host, path and text, so that no alignment can miss one. Where the wrapper
+  has a repeated group and most of what stands there differs from page to page, the
+  group is running text, and a paragraph that many pages share is kept;
+- regions that markup names as not the article, by words that can mean something
+  else as well ("social-history"), and forms, unless slots bear most of their text.
+
+Markup whose only meaning is that it is not the article (nav, class "sidebar") is left
+out everywhere. What is left in the elements that markup names as the article is the
+result, or if that is nothing, what is left in the body. Pages of hosts with fewer
+than three pages unlike in text have no slots to go by: there a doubtful region is
+kept if it bears half of the page's text, or stands in the article and is no form.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -49,6 +59,12 @@ OUTSIDE = frozenset(
     "overlay comment comments reply replies respond disqus form subscribe subscription newsletter signup login share sharing "
     "social related recommended widget toolbar search pagination pager skip copyright complementary contentinfo".split()
 )
+# Words that say where a part stands, and nothing of what it is.
+LAYOUT = frozenset(
+    "area article bar base big block blog body bottom box btn card cell center col column container content entry first fixed "
+    "group holder inner item items last layout left list main mini mobile module outer page panel post region right row section "
+    "site slot small sticky text title top unit user web wrap wrapper zone".split()
+)
 # Tags that an opening tag closes.
 CLOSES = {
     "li": frozenset(("li",)),
@@ -78,6 +94,12 @@ TEMPLATE_PAGES = 3
 TEMPLATE_SHARE = 0.5
 #: Share of linked characters from which a region counts as a list of links.
 LINKED = 0.6
+#: Share of a doubtful region's text in slots from which it is part of the article.
+SLOTS = 0.5
+#: Share of constant text from which what stands at a repeated path is template.
+CONSTANT = 0.5
+#: Strength of the evidence that an element is outside the article.
+DOUBTFUL, CERTAIN = 1, 2
 #: Hosts whose wrappers a task holds before it passes them on.
 HOSTS_HELD = 2_000
 #: Items of one element that are aligned one by one. In wider elements the items of
@@ -85,9 +107,19 @@ HOSTS_HELD = 2_000
 WIDEST = 400
 
 
-def _name(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's name in a stream, whether it is outside the article, whether it holds the article."""
-    name, outside, main = tag, tag in DROPPED, tag in MAIN
+def _evidence(value: str) -> int:
+    """How sure the words of a class, id or role are that an element is outside the article."""
+    found = 0
+    for one in value.lower().split():
+        words = _WORD.findall(one)
+        if not OUTSIDE.isdisjoint(words):
+            found = max(found, CERTAIN if all(w in OUTSIDE or w in LAYOUT for w in words) else DOUBTFUL)
+    return found
+
+
+def _name(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """An element's name in a stream, how surely it is outside the article, whether it holds the article."""
+    name, outside, main = tag, (DOUBTFUL if tag == "form" else CERTAIN) if tag in DROPPED else 0, tag in MAIN
     if attributes and "=" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = next((v for v in values if v), "")
@@ -95,11 +127,20 @@ def _name(tag: str, attributes: str) -> tuple[str, bool, bool]:
             if key.lower() == "class":
                 name += "." + ".".join(words)
             if tag not in ("html", "body"):
-                outside = outside or not OUTSIDE.isdisjoint(words)
+                evidence = _evidence(value)
+                if evidence == DOUBTFUL and key.lower() != "class":
+                    name += "." + ".".join(words)  # so that wrappers tell it apart
+                outside = max(outside, evidence)
                 main = main or (key.lower() == "role" and "main" in words)
     return name, outside, main
 
 
+def _doubtful(name: str) -> bool:
+    """Whether an element of this name can be a doubtful region."""
+    tag, *words = name.split(".")
+    return tag == "form" or not OUTSIDE.isdisjoint(words)
+
+
 def tokens(html: str) -> Iterator[tuple]:
     """("open", tag, name, outside, main), ("close", tag) and ("text", raw) in page order, balanced."""
     opened: list[str] = []
@@ -244,29 +285,72 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
-def template(items: list) -> dict[str, list]:
-    """What a wrapper leaves out: per path its constant texts, and True where links prevail."""
+def template(items: list) -> dict:
+    """What a wrapper says of its host's pages.
+
+    ``constants`` has per path the texts that pages share, ``linked`` the regions in
+    which links prevail, ``repeated`` the blocks that stand in repeated groups, and
+    ``slots`` the doubtful regions whose text is mostly in slots. The wrapper of less than
+    three pages says nothing.
+    """
     pages = max((x[1] for x in items), default=0)
+    if pages < TEMPLATE_PAGES:
+        return {"constants": {}, "linked": []}
     constants: dict[str, set] = {}
     sums: dict[str, list[int]] = {}
+    repeated: set[str] = set()
 
-    def walk(some: list, path: str) -> None:
+    def walk(some: list, path: str, dropped: bool) -> None:
         for x in some:
             if x[0] == "#":
-                if x[4] is not None and x[1] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages):
+                constant = x[4] is not None and x[1] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages)
+                if constant:
                     constants.setdefault(path, set()).add(x[4])
                 parts = path.split("/")
                 for k in range(3, len(parts) + 1):
-                    total = sums.setdefault("/".join(parts[:k]), [0, 0])
+                    total = sums.setdefault("/".join(parts[:k]), [0, 0, 0, 0])
                     total[0] += x[5]
                     total[1] += x[6]
+                    if not dropped:
+                        total[2] += x[5]
+                        total[3] += 0 if constant else x[5] - x[6]
             else:
+                at, tag = f"{path}/{x[0]}", x[0].partition(".")[0]
+                if x[3] and tag in BLOCKS:
+                    repeated.add(at)
+                walk(x[4], at, dropped or (tag in DROPPED and tag != "form"))
+
+    walk(items, "", False)
+    linked = [p for p, (chars, links, _, _) in sums.items() if links >= LINKED * chars and _is_block(p)]
+    slots = [p for p, (*_, chars, free) in sums.items() if _doubtful(p.rpartition("/")[2]) and free and free >= SLOTS * chars]
+    told = {p: sorted(t) for p, t in constants.items()}
+    return {"constants": told, "linked": sorted(linked), "repeated": sorted(repeated), "slots": sorted(slots)}
+
+
+def alone(html: str) -> frozenset[str]:
+    """The doubtful regions that a page without a wrapper keeps, by path."""
+    sums: dict[str, list[int]] = {}
+
+    def walk(some: list, path: str) -> None:
+        for x in some:
+            if x[0] == "#":
+                parts = path.split("/")
+                for k in range(1, len(parts) + 1):
+                    total = sums.setdefault("/".join(parts[:k]), [0, 0])
+                    total[0] += x[5]
+                    total[1] += x[5] - x[6]
+            elif (tag := x[0].partition(".")[0]) not in DROPPED or tag == "form":
                 walk(x[4], f"{path}/{x[0]}")
 
-    if pages >= TEMPLATE_PAGES:
-        walk(items, "")
-    linked = [p for p, (chars, links) in sums.items() if links >= LINKED * chars and _is_block(p)]
-    return {"constants": {p: sorted(t) for p, t in constants.items()}, "linked": sorted(linked)}
+    walk(stream(html), "")
+    whole = sums.get("", [0, 0])[1]
+    kept = set()
+    for path, (chars, free) in sums.items():
+        above, _, name = path.rpartition("/")
+        marked = not MAIN.isdisjoint(part.partition(".")[0] for part in above.split("/"))
+        if free and (free >= SLOTS * whole or (marked and name.partition(".")[0] != "form" and free >= SLOTS * chars)):
+            kept.add(path)
+    return frozenset(kept)
 
 
 def _is_block(path: str) -> bool:
@@ -279,11 +363,11 @@ def _mark(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def runs(html: str) -> Iterator[tuple[str, bool, list[tuple[str, str, bool]]]]:
+def runs(html: str, keeps: Callable[[str], bool] = lambda path: True) -> Iterator[tuple[str, bool, list[tuple[str, str, bool]]]]:
     """The text between two edges of blocks: the block's path, whether in a marked article, and pieces.
 
-    A piece is its own path, its text and whether it is linked. Pieces that are marked
-    as outside the article are left out.
+    A piece is its own path, its text and whether it is linked. Pieces that are surely
+    outside the article are left out, and those in doubtful regions that ``keeps`` refuses.
     """
     path, block, outs, mains, links = "", "", 0, 0, 0
     above: list[tuple[str, str, bool, bool]] = []
@@ -298,7 +382,8 @@ def runs(html: str) -> Iterator[tuple[str, bool, list[tuple[str, str, bool]]]]:
             yield block, mains > 0, pieces
             pieces = []
         if token[0] == "open":
-            _, _, name, outside, main = token
+            _, _, name, evidence, main = token
+            outside = evidence == CERTAIN or (evidence == DOUBTFUL and not outs and not keeps(f"{path}/{name}"))
             above.append((path, block, outside, main))
             outs += outside
             mains += main
@@ -316,18 +401,19 @@ def runs(html: str) -> Iterator[tuple[str, bool, list[tuple[str, str, bool]]]]:
         yield block, mains > 0, pieces
 
 
-def marks(html: str) -> tuple[int, set[int]]:
+def marks(html: str) -> tuple[int, dict[int, tuple[int, int]]]:
     """A page's text, and each run of text at its block and each block that is mostly links, as numbers.
 
-    What its markup names as not the article does not count.
+    With each run go its block as a number and its characters. What its markup surely
+    names as not the article does not count.
     """
-    found: set[int] = set()
+    found: dict[int, tuple[int, int]] = {}
     content: list[str] = []
     sums: dict[str, list[int]] = {}
     for block, _, pieces in runs(html):
         text = " ".join("".join(t for _, t, _ in pieces).split())
         if text:
-            found.add(_mark(block, text))
+            found[_mark(block, text)] = (_mark(block, ""), len(text))
             content.append(text)
             total = sums.setdefault(block, [0, 0])
             total[0] += len(text)
@@ -340,7 +426,7 @@ def marks(html: str) -> tuple[int, set[int]]:
                 total[0] += chars
                 total[1] += links
                 at = at.rpartition("/")[0]
-        found.update(_mark(at, "") for at, (chars, links) in regions.items() if links >= LINKED * chars)
+        found |= {_mark(at, ""): (_mark(at, ""), 0) for at, (chars, links) in regions.items() if links >= LINKED * chars}
     return _mark("", " ".join(content)), found
 
 
@@ -351,6 +437,8 @@ def main_text(html: str | None, left_out: dict | None = None) -> str:
     of the article the page marks, or if there is none, the body's. A run of text is
     template as a whole, not by the words between its tags. In a marked article lists
     of links count as template only if the host's pages have them like a constant.
+    ``left_out`` is what ``template`` says of the host's wrapper; without its ``slots``
+    the page decides on its doubtful regions alone.
     """
     if not html:
         return ""
@@ -359,6 +447,12 @@ def main_text(html: str | None, left_out: dict | None = None) -> str:
     counted = frozenset((left_out or {}).get("marks", ()))
     article: list[str] = []
     body: list[str] = []
+    kept: list[frozenset] = [frozenset(left_out["slots"])] if left_out and "slots" in left_out else []
+
+    def keeps(path: str) -> bool:
+        if not kept:
+            kept.append(alone(html))
+        return path in kept[0]
 
     def listed(at: str, main: bool) -> bool:
         while at:
@@ -367,7 +461,7 @@ def main_text(html: str | None, left_out: dict | None = None) -> str:
             at = at.rpartition("/")[0]
         return False
 
-    for block, main, pieces in runs(html):
+    for block, main, pieces in runs(html, keeps):
         text = " ".join("".join(t for _, t, _ in pieces).split())
         if not text or (linked and listed(block, main)) or (counted and _mark(block, text) in counted):
             continue
@@ -411,9 +505,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def template_marks(pages: DataFrame) -> DataFrame:
-    """host and marks of its constant texts, from rows of host and html.
+    """host, marks of its constant texts, and those that are few among what stands at their path.
 
-    Counted are a host's pages that differ in text; a page's own number has the mark null.
+    From rows of host and html. Counted are a host's pages that differ in text; a page's
+    own number has the mark null. ``few`` has the block and the mark of each constant
+    that stands where less than ``CONSTANT`` of all text is constant. Hosts of fewer than
+    three such pages have no row; ``marks`` is empty where nothing is constant.
     """
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -421,30 +518,45 @@ def template_marks(pages: DataFrame) -> DataFrame:
             hosts: list = []
             of: list = []
             contents: list = []
+            places: list = []
             for host, html in zip(frame["host"], frame["html"]):
                 content, found = marks(html)
                 hosts += [host] * (len(found) + 1)
                 of += [None, *found]
                 contents += [content] * (len(found) + 1)
-            yield pd.DataFrame({"host": hosts, "mark": pd.array(of, "Int64"), "content": contents})
+                places += [(None, 0), *found.values()]
+            at, chars = ([p[k] for p in places] for k in (0, 1))
+            columns = {"host": hosts, "mark": pd.array(of, "Int64"), "content": contents, "block": pd.array(at, "Int64"), "chars": chars}
+            yield pd.DataFrame(columns)
 
     found = pages.filter("host is not null and host <> '' and html is not null").mapInPandas(
-        marked, "host string, mark long, content long"
+        marked, "host string, mark long, content long, block long, chars long"
     )
-    counts = found.distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= TEMPLATE_PAGES)
+    # Block and characters follow from the mark; one row a mark and page unlike in text.
+    counts = found.distinct().groupBy("host", "mark", "block").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     counts = stage(counts, "text-counts")
-    totals = counts.filter("mark is null").select(F.col("host").alias("whole"), F.col("n").alias("pages"))
-    constant = counts.filter("mark is not null").join(totals, F.col("host") == F.col("whole"))
-    constant = constant.filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    return constant.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
+    totals = counts.filter("mark is null").filter(F.col("n") >= TEMPLATE_PAGES)
+    totals = totals.select(F.col("host").alias("whole"), F.col("n").alias("pages"))
+    constant = counts.filter("mark is not null").filter(F.col("n") >= TEMPLATE_PAGES).join(totals, F.col("host") == F.col("whole"))
+    constant = stage(constant.filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).drop("whole", "pages"), "constants")
+    # All text of the blocks that have constants, and the part of it that is constant.
+    shared = constant.groupBy("host", "block").agg(F.sum("chars").alias("shared")).filter("shared > 0")
+    every = counts.groupBy("host", "block").agg(F.sum("chars").alias("every"))
+    mixed = shared.join(every, ["host", "block"]).filter(F.col("shared") < CONSTANT * F.col("every"))
+    told = constant.join(mixed.select("host", "block", F.lit(True).alias("mixed")), ["host", "block"], "left")
+    few = F.collect_list(F.when(F.col("mixed") & (F.col("chars") > 0), F.struct("block", "mark")))
+    lists = told.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("marks"), F.sort_array(few).alias("few"))
+    return totals.join(lists, F.col("whole") == F.col("host"), "left").select(
+        F.col("whole").alias("host"), F.coalesce("marks", F.array().cast("array<long>")).alias("marks"), "few"
+    )
 
 
 def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id_column: str = "page_id") -> DataFrame:
     """Per row: the id, the url, text and n_chars.
 
     Null and empty pages have an empty text. Pages without a host in their url
-    are read without a wrapper. Repeated rows are read each. A host's wrapper is
-    inferred from all of its pages.
+    are read without a wrapper. Repeated rows are read each, and columns other than the
+    three named are not looked at. A host's wrapper is inferred from all of its pages.
     """
     rows = pages.select(
         F.col(id_column).alias("id"),
@@ -453,16 +565,21 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id_column
         F.col(html).cast("string").alias("html"),
     )
 
-    def decide(wrappers: pd.Series, counted: pd.Series) -> pd.Series:
+    def decide(wrappers: pd.Series, counted: pd.Series, few: pd.Series) -> pd.Series:
         out = []
-        for wrapper, found in zip(wrappers, counted):
-            known = {} if found is None else {"marks": [int(m) for m in found]}
-            out.append(json.dumps({"linked": template(json.loads(wrapper))["linked"], **known}))
+        for wrapper, found, rare in zip(wrappers, counted, few):
+            says = template(json.loads(wrapper))
+            known = {"linked": says["linked"]}
+            if found is not None and "slots" in says:
+                groups = {_mark(path, "") for path in says["repeated"]}
+                running = {r["mark"] for r in ([] if rare is None else rare) if r["block"] in groups}
+                known |= {"slots": says["slots"], "marks": [int(m) for m in found if m not in running]}
+            out.append(json.dumps(known))
         return pd.Series(out, dtype=object)
 
     counted = template_marks(rows.select("host", "html")).withColumnRenamed("host", "at")
     wrappers = infer_wrappers(rows.select("host", "html")).join(counted, F.col("host") == F.col("at"), "left")
-    wrappers = wrappers.select(F.col("host").alias("of"), F.pandas_udf(decide, "string")("wrapper", "marks").alias("left_out"))
+    wrappers = wrappers.select(F.col("host").alias("of"), F.pandas_udf(decide, "string")("wrapper", "marks", "few").alias("left_out"))
 
     def read(html: pd.Series, left_out: pd.Series) -> pd.Series:
         seen: dict = {}
