@@ -508,9 +508,9 @@ def template_marks(pages: DataFrame) -> DataFrame:
     """host, marks of its constant texts, and those that are few among what stands at their path.
 
     From rows of host and html. Counted are a host's pages that differ in text; a page's
-    own number has the mark null. ``few`` has the block and the mark of each constant
-    that stands where less than ``CONSTANT`` of all text is constant. Hosts of fewer than
-    three such pages have no row; ``marks`` is empty where nothing is constant.
+    own number has the mark null. ``few`` has the blocks in which less than ``CONSTANT``
+    of all text is constant, and the marks of that part. Hosts of fewer than three such
+    pages, and those without any text, have no row.
     """
 
     def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -537,17 +537,19 @@ def template_marks(pages: DataFrame) -> DataFrame:
     counts = stage(counts, "text-counts")
     totals = counts.filter("mark is null").filter(F.col("n") >= TEMPLATE_PAGES)
     totals = totals.select(F.col("host").alias("whole"), F.col("n").alias("pages"))
-    constant = counts.filter("mark is not null").filter(F.col("n") >= TEMPLATE_PAGES).join(totals, F.col("host") == F.col("whole"))
-    constant = stage(constant.filter(F.col("n") >= TEMPLATE_SHARE * F.col("pages")).drop("whole", "pages"), "constants")
-    # All text of the blocks that have constants, and the part of it that is constant.
-    shared = constant.groupBy("host", "block").agg(F.sum("chars").alias("shared")).filter("shared > 0")
-    every = counts.groupBy("host", "block").agg(F.sum("chars").alias("every"))
-    mixed = shared.join(every, ["host", "block"]).filter(F.col("shared") < CONSTANT * F.col("every"))
-    told = constant.join(mixed.select("host", "block", F.lit(True).alias("mixed")), ["host", "block"], "left")
-    few = F.collect_list(F.when(F.col("mixed") & (F.col("chars") > 0), F.struct("block", "mark")))
-    lists = told.groupBy("host").agg(F.sort_array(F.collect_list("mark")).alias("marks"), F.sort_array(few).alias("few"))
-    return totals.join(lists, F.col("whole") == F.col("host"), "left").select(
-        F.col("whole").alias("host"), F.coalesce("marks", F.array().cast("array<long>")).alias("marks"), "few"
+    constant = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
+    known = counts.filter("mark is not null").join(totals, F.col("host") == F.col("whole"))
+    # A host has no more constants than two of its pages have texts, so these lists are short.
+    blocks = known.groupBy("host", "block").agg(
+        F.sum("chars").alias("every"),
+        F.sum(F.when(constant, F.col("chars"))).alias("shared"),
+        F.collect_list(F.when(constant & (F.col("chars") > 0), F.col("mark"))).alias("texts"),
+        F.collect_list(F.when(constant & (F.col("chars") == 0), F.col("mark"))).alias("lists"),
+    )
+    mixed = F.col("shared") < CONSTANT * F.col("every")
+    few = F.when(mixed & (F.size("texts") > 0), F.struct("block", "texts"))
+    return blocks.groupBy("host").agg(
+        F.flatten(F.collect_list(F.concat("texts", "lists"))).alias("marks"), F.collect_list(few).alias("few")
     )
 
 
@@ -572,8 +574,8 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id_column
             known = {"linked": says["linked"]}
             if found is not None and "slots" in says:
                 groups = {_mark(path, "") for path in says["repeated"]}
-                running = {r["mark"] for r in ([] if rare is None else rare) if r["block"] in groups}
-                known |= {"slots": says["slots"], "marks": [int(m) for m in found if m not in running]}
+                running = {m for r in rare if r["block"] in groups for m in r["texts"]}
+                known |= {"slots": says["slots"], "marks": sorted(int(m) for m in found if m not in running)}
             out.append(json.dumps(known))
         return pd.Series(out, dtype=object)
 
