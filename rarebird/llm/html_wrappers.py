@@ -100,6 +100,8 @@ SLOTS = 0.5
 CONSTANT = 0.5
 #: Strength of the evidence that an element is outside the article.
 DOUBTFUL, CERTAIN = 1, 2
+#: Parts in which a host's wrappers are merged and its texts are joined to its number of pages.
+PARTS = 32
 #: Hosts whose wrappers a task holds before it passes them on.
 HOSTS_HELD = 2_000
 #: Items of one element that are aligned one by one. In wider elements the items of
@@ -499,7 +501,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     schema = "host string, wrapper string"
     known = pages.filter("host is not null and host <> '' and html is not null")
     # Each task passes on a wrapper a host; two rounds keep any one task's share small.
-    parts = known.mapInPandas(first, schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
+    parts = known.mapInPandas(first, schema).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
     some = parts.groupBy("host", "part").applyInPandas(merge, schema)
     return stage(some.groupBy("host").applyInPandas(merge, schema), "wrappers")
 
@@ -536,9 +538,12 @@ def template_marks(pages: DataFrame) -> DataFrame:
     counts = found.distinct().groupBy("host", "mark", "block").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     counts = stage(counts, "text-counts")
     totals = counts.filter("mark is null").filter(F.col("n") >= TEMPLATE_PAGES)
-    totals = totals.select(F.col("host").alias("whole"), F.col("n").alias("pages"))
+    # A host may hold a third of all texts, so its texts are joined in parts, and summed there.
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    totals = totals.select(F.col("host").alias("whole"), F.col("n").alias("pages"), every.alias("of"))
     constant = (F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= TEMPLATE_SHARE * F.col("pages"))
-    known = counts.filter("mark is not null").join(totals, F.col("host") == F.col("whole"))
+    known = counts.filter("mark is not null")
+    known = known.join(totals, (F.col("host") == F.col("whole")) & (F.pmod("mark", F.lit(PARTS)) == F.col("of")))
     # A host has no more constants than two of its pages have texts, so these lists are short.
     blocks = known.groupBy("host", "block").agg(
         F.sum("chars").alias("every"),
