@@ -4,6 +4,8 @@ import random
 
 import pytest
 from conftest import DATA
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rarebird import __main__ as command
@@ -114,6 +116,41 @@ def test_pipeline_stages(spark, scale, pca):
     assert stages == ["Imputer", "VectorAssembler", *middle, "RandomForestClassifier"]
 
 
+def test_pipelines_of_all_flags_run(spark, observations):
+    """From cleaned columns to predictions; components standardise, asked for or not."""
+    cleaned = clean(hash_split(observations, derived.KEY), keep=("split",))
+    train = side(labelled(cleaned), "train")
+    features = coverage.fit_features(train, feature_columns(cleaned, exclude=("split",)))
+    rows = staging.dealt(weights.fit_class_weights(train).apply(train).withColumn("deal", F.xxhash64(*features)), 8, "deal").persist()
+    shares = {}
+    for scale, pca in [(False, False), (True, False), (False, True), (True, True)]:
+        fitted = forest.forest_pipeline(features, scale, pca, TINY, k=5).fit(rows)
+        shares[scale, pca] = [tuple(r) for r in fitted.transform(rows).groupBy("prediction").count().orderBy("prediction").collect()]
+        assert fitted.stages[-1].numFeatures == (5 if pca else len(features))
+    rows.unpersist()
+    assert all(sum(n for _, n in found) == train.count() for found in shares.values())
+    assert shares[False, True] == shares[True, True]
+
+
+def test_an_experiment_is_a_model_of_its_own(spark, observations, tmp_path):
+    """Each experiment's pipeline, saved and loaded, gives the study's scores."""
+    prepared, features = prepare(hash_split(observations, derived.KEY), keys=derived.KEY)
+    fitted = fit_all(prepared, len(features), EXPERIMENTS, TINY)
+    scored = score_all(prepared, len(features), fitted, EXPERIMENTS)
+    for e, stages in zip(EXPERIMENTS, (1, 2, 3, 3)):
+        path = str(tmp_path / e.short_name)
+        fitted.pipeline(e).write().save(path)
+        model = PipelineModel.load(path)
+        assert len(model.stages) == stages
+        vector = model.stages[-1].getFeaturesCol()
+        own = model.transform(prepared).select(
+            "split", F.col("label").cast("int"), F.col("prediction_" + vector).cast("int").alias("prediction"),
+            vector_to_array("probability_" + vector)[1].alias("score"),
+        )
+        study = scored.where(F.col("experiment") == e.name).select(own.columns)
+        assert own.exceptAll(study).isEmpty() and study.exceptAll(own).isEmpty(), e.name
+
+
 def test_forest_settings(spark):
     made = forest.forest("features")
     got = {p.name: v for p, v in made.extractParamMap().items()}
