@@ -151,6 +151,22 @@ def test_an_experiment_is_a_model_of_its_own(spark, observations, tmp_path):
         assert own.exceptAll(study).isEmpty() and study.exceptAll(own).isEmpty(), e.name
 
 
+def test_forests_score_even_parts_one_at_a_time(spark, observations, monkeypatch):
+    """From one file of all rows, every forest's part has the rows in about equal files."""
+    prepared, features = prepare(hash_split(observations, derived.KEY).coalesce(1), keys=derived.KEY)
+    fitted = fit_all(prepared, len(features), EXPERIMENTS, TINY)
+    monkeypatch.setattr(staging, "SCORED_ROWS", 500)
+    scored = score_all(prepared, len(features), fitted, EXPERIMENTS)
+    files = scored.groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("experiment").alias("experiments")
+    ).collect()
+    n = prepared.count()
+    parts = -(-n // 500)
+    assert len(files) == 3 * parts and sum(r.n for r in files) == 4 * n
+    assert all(r.n <= 1.1 * n / parts * len(r.experiments) for r in files)
+    assert {frozenset(r.experiments) for r in files} == {frozenset(NAMES[:1]), frozenset(NAMES[1:2]), frozenset(NAMES[2:])}
+
+
 def test_forest_settings(spark):
     made = forest.forest("features")
     got = {p.name: v for p, v in made.extractParamMap().items()}
