@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -609,3 +610,59 @@ def test_small_buckets_lose_no_link():
         jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
         every = [(i, j) for j in range(25) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
         assert joined(found) == joined(every)
+
+
+def test_no_bucket_is_finished_whose_texts_have_all_been_compared(spark, monkeypatch):
+    texts = {1: range(100), 2: range(50, 150), 3: range(500, 600), 4: range(505, 605), 5: range(3, 103), 6: range(13, 113)}
+    sets = spark.createDataFrame([(i, list(x)) for i, x in texts.items()], "id long, pieces array<long>")
+    # Both texts compared and unlike; two unlike the least one but like each other; two pairs near the
+    # least one (distances 0.06, 0.23), like each other only across (0.18).
+    buckets = {10: [1, 2], 11: [1, 3, 4], 12: [1, 5, 6]}
+    members = spark.createDataFrame([(b, i, 100) for b, ids in buckets.items() for i in ids], "bucket long, id long, n int")
+    finish, left = dart_minhash._finish, []
+    monkeypatch.setattr(dart_minhash, "_finish", lambda rows, *a: (left.extend(rows.collect()), finish(rows, *a))[1])
+    roots = {r.id: r.root for r in dart_minhash.links(members, sets, 0.8).collect()}
+    assert {(r.bucket, r.id) for r in left} == {(11, 3), (11, 4), (12, 5), (12, 6)}
+    assert roots == {1: 1, 5: 1, 6: 1, 3: 3, 4: 3}
+
+
+def test_buckets_go_on_from_known_distances():
+    r = random.Random(15)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    for _ in range(40):
+        base = list(range(40))
+        sets = [np.array(sorted({x if r.random() > 0.12 else r.randint(100, 200) for x in base})) for _ in range(25)]
+        known = [1.0 - jaccard(sets[0], s) for s in sets[1:]]
+        # Those like the first text have been joined to it.
+        classes = [0 if 1.0 - d >= 0.8 else i for i, d in enumerate(known, 1)]
+        found = dart_minhash.link_bucket(list(range(1, 25)), sets[1:], classes, 0.8, known)
+        every = [(i, j) for j in range(25) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+
+        def joined(pairs):
+            parent = list(range(25))
+            for a, b in pairs:
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+            return parent
+
+        assert joined([*found, *((0, i) for i, c in enumerate(classes, 1) if c == 0)]) == joined(every)
+
+
+def test_texts_in_a_block_are_as_they_are_alone(monkeypatch):
+    monkeypatch.setattr(dart_minhash, "LONG_WORD", 6)
+    odd = ["", None, " \n", "a", "a b", "a  b\x1cc d\x0be f", "muchlonger words é ü 漢字 muchlonger", "a a a a a a a a", "p q r s t ", " p q r s t u"]
+    texts = pa.array(odd + random_texts(60, 16) + ["end"])
+    for weighting in ("set", "count"):
+        ids, weights, sizes = dart_minhash.flat_elements(texts, weighting)
+        bounds = np.cumsum(sizes)[:-1]
+        signatures = iter(dart_minhash.signatures(ids, weights, sizes[sizes > 0], 160))
+        for text, mine, its in zip(texts.to_pylist(), np.split(ids, bounds), np.split(weights, bounds)):
+            words = text.encode().split() if text else []
+            runs = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+            assert len(mine) == len(runs) and sorted(its) == sorted(runs.values() if weighting == "count" else [1] * len(runs))
+            alone, heavy, _ = dart_minhash.flat_elements(pa.array([text], pa.string()), weighting)
+            assert (alone == mine).all() and (heavy == its).all()
+            if runs:
+                assert (dart_minhash.signature(alone, heavy, 160) == next(signatures)).all()
+    cut = [x for block in dart_minhash.blocks(texts, 100) for x in block.to_pylist()]
+    assert cut == texts.to_pylist()
