@@ -22,6 +22,7 @@ from rarebird.llm import (
     shared_prefix,
     token_counts,
 )
+from rarebird.sources import staging
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Spans string, SIZE int, position string"
 LONG = "un mot très long de plus. " * 20_000
@@ -666,3 +667,25 @@ def test_texts_in_a_block_are_as_they_are_alone(monkeypatch):
                 assert (dart_minhash.signature(alone, heavy, 160) == next(signatures)).all()
     cut = [x for block in dart_minhash.blocks(texts, 100) for x in block.to_pylist()]
     assert cut == texts.to_pylist()
+
+
+def test_no_more_texts_are_counted_than_rules_are_learned_from(spark, monkeypatch):
+    r = random.Random(22)
+    good, bad = ("le un de mot été Haus ".split() for _ in range(2))
+    texts = [" ".join(r.choice(good if i % 2 else bad + ["###"] * 6) + str(r.randint(0, 999)) for _ in range(60)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    counted, stage = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, *a: (counted.append((t := stage(df, *a)).count()), t)[1])
+    monkeypatch.setattr(quality_rules, "MAX_TRAINING_ROWS", 50)
+    kept = {d.doc_id for d in quality_rules.keep_good(docs, labels).collect()}
+    assert len(counted) == 1 and 50 <= counted[0] < 200
+    measured = quality_rules.with_statistics(docs)
+    rules = quality_rules.fit(measured, labels, max_rows=50)
+    assert rules.rules and kept == {d.doc_id for d in quality_rules.judge(measured, rules).filter("kept").collect()}
+    # Where too few of the first ones pass the base rules, all are counted.
+    short = docs.withColumn("text", F.when(F.md5(F.col("doc_id").cast("string")) > "8", F.col("text")).otherwise("few words"))
+    counted.clear()
+    rules = quality_rules.fit_texts(short, labels, "text", "stats", max_rows=50)
+    assert len(counted) == 2 and counted[1] == 400
+    assert rules == quality_rules.fit(quality_rules.with_statistics(short), labels, max_rows=50)
